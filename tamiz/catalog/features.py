@@ -17,11 +17,7 @@ SCALE = 2  # amounts have two decimals
 
 def _sql_sum(name: str, column: str, flow: str, amount: str, per: str | None = None) -> str:
     total = f"coalesce(sum(CASE WHEN coalesce({column}, 'NA') || '_' || {flow} = '{name}' THEN round({amount} * 100) END), 0) / 100.0"
-    return f'round({total}{" / " + per if per else ""}, 4) AS "{name}"'
-
-
-def _rounded(df: DataFrame, columns, digits: int = 4) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
+    return f'{total}{" / " + per if per else ""} AS "{name}"'
 
 
 def _orders_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +88,7 @@ _CHANNEL_KEYS = [f"{c}_{f}" for c in ("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED
 def flow_matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product by flow, with the column names found in the data."""
     moves = _item_moves(spark, sf_dir)
-    out = feat.flow_matrix(moves, "o_custkey", {"product": "p_type"}, "l_linestatus", "amount", scale=SCALE)
-    return _rounded(out, out.columns[1:])
+    return feat.flow_matrix(moves, "o_custkey", {"product": "p_type"}, "l_linestatus", "amount", scale=SCALE)
 
 
 @query(
@@ -107,8 +102,7 @@ def flow_matrix_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel by flow over declared names; a missing channel reads NA."""
     moves = _orders_moves(spark, sf_dir)
     values = {"channel": _CHANNEL_KEYS}
-    out = feat.flow_matrix(moves, "o_custkey", {"channel": "channel"}, "flow", "amount", values, SCALE)
-    return _rounded(out, _CHANNEL_KEYS)
+    return feat.flow_matrix(moves, "o_custkey", {"channel": "channel"}, "flow", "amount", values, SCALE)
 
 
 @query(
@@ -120,28 +114,26 @@ def flow_matrix_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_matrix_jurisdiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, moves = silver(spark, sf_dir)
     values = {"tier": populations.VIEW_VALUES["tier"]}
-    out = feat.flow_matrix(moves, "normalized_id", {"tier": "jurisdiccion"}, "tipo_transac", "monto", values, SCALE)
-    return _rounded(out, values["tier"])
+    return feat.flow_matrix(moves, "normalized_id", {"tier": "jurisdiccion"}, "tipo_transac", "monto", values, SCALE)
 
 
 @query(
     "flow_per_period",
     """SELECT user_id, count(*) AS n_moves, count(DISTINCT CAST(ts AS DATE)) AS n_periods,
       round_even(count(*) / count(DISTINCT CAST(ts AS DATE)), 0) AS num_transa,
-      round(sum(CASE WHEN event_type = 'click' THEN round(value * 100) ELSE 0 END) / 100.0
-        / count(DISTINCT CAST(ts AS DATE)), 4) AS click_in,
-      round(sum(CASE WHEN event_type = 'error' THEN round(value * 100) ELSE 0 END) / 100.0
-        / count(DISTINCT CAST(ts AS DATE)), 4) AS error_in
+      sum(CASE WHEN event_type = 'click' THEN round(value * 100) ELSE 0 END) / 100.0
+        / count(DISTINCT CAST(ts AS DATE)) AS click_in,
+      sum(CASE WHEN event_type = 'error' THEN round(value * 100) ELSE 0 END) / 100.0
+        / count(DISTINCT CAST(ts AS DATE)) AS error_in
     FROM events GROUP BY 1""",
 )
 def flow_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event value by type per active day."""
     events = table(spark, sf_dir, "events").withColumn("flow", F.lit("in"))
     names = ["click_in", "error_in"]
-    out = feat.behaviour(
+    return feat.behaviour(
         events, "user_id", F.col("ts").cast("date"), {"kind": "event_type"}, "flow", "value", {"kind": names}, SCALE
     )
-    return _rounded(out, names)
 
 
 @query(
@@ -206,7 +198,7 @@ def _flag_sql(strict: bool) -> str:
 
 
 _MERGED = [c for c in populations.FLOW_COLUMNS if not c.startswith("CDT_")]
-_BALANCE_SQL = ", ".join(f"round({c}, 4) AS {c}" for c in populations.BALANCE)
+_BALANCE_SQL = ", ".join(populations.BALANCE)
 
 
 @query(
@@ -236,7 +228,7 @@ def _population_sql(population: str, columns: str) -> str:
     _population_sql(LOW_AMOUNT, "num_transa, " + ", ".join(f'"{c}"' for c in populations.FLOW_COLUMNS)),
 )
 def features_low_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(population_features(spark, sf_dir, LOW_AMOUNT), populations.FLOW_COLUMNS)
+    return population_features(spark, sf_dir, LOW_AMOUNT)
 
 
 @query(
@@ -244,7 +236,7 @@ def features_low_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     _population_sql(LEGAL, f"{_flag_sql(True)}, {_BALANCE_SQL}, num_transa, " + ", ".join(f'"{c}"' for c in _MERGED)),
 )
 def features_legal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(population_features(spark, sf_dir, LEGAL), [*populations.BALANCE, *_MERGED])
+    return population_features(spark, sf_dir, LEGAL)
 
 
 @query(
@@ -252,7 +244,7 @@ def features_legal(spark: SparkSession, sf_dir: str) -> DataFrame:
     _population_sql(NATURAL, f"{_flag_sql(False)}, {_BALANCE_SQL}, num_transa, " + ", ".join(f'"{c}"' for c in _MERGED)),
 )
 def features_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(population_features(spark, sf_dir, NATURAL), [*populations.BALANCE, *_MERGED])
+    return population_features(spark, sf_dir, NATURAL)
 
 
 _SECTOR = """CASE WHEN sector_economico IN ('Sector Privado Esal', 'Sector Privado Financiero Solidario')
@@ -279,15 +271,13 @@ _ASSOCIATE_FLAGS = ", ".join(
         for v, c in (("product", "tipo_producto"), ("channel", "canal")) for n in associates.VIEW_VALUES[v])}
       FROM m GROUP BY 1)
     SELECT c.normalized_id AS num_identificacion, {_ASSOCIATE_FLAGS}, num_transa,
-      round(salario_actual + otros_ingresos, 4) AS ingresos, round(egresos, 4) AS egresos,
-      round(activos, 4) AS activos, round(pasivos, 4) AS pasivos,
+      salario_actual + otros_ingresos AS ingresos, egresos, activos, pasivos,
       {", ".join(f'"{n}"' for v in associates.VIEWS for n in associates.VIEW_VALUES[v])}
     FROM silver_clients c LEFT JOIN sums ON c.normalized_id = sums.normalized_id WHERE rol = 'Asociado'""",
 )
 def client_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The associate feature table."""
-    out = associates.feature_table(*associate_silver(spark, sf_dir), scale=SCALE)
-    return _rounded(out, [c for c in associates.CONTINUOUS if c != "num_transa"])
+    return associates.feature_table(*associate_silver(spark, sf_dir), scale=SCALE)
 
 
 @query(
