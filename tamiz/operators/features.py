@@ -27,31 +27,25 @@ def activity_summary(moves: DataFrame, key: str, period: Column) -> DataFrame:
     return counted.withColumn("num_transa", half_even(F.col("n_moves") / F.col("n_periods")))
 
 
-def flow_keys(moves: DataFrame, views: Mapping[str, str], flow: str) -> dict[str, list[str]]:
+def with_flow_keys(moves: DataFrame, views: Mapping[str, str], flow: str) -> DataFrame:
+    """Add each view's ``value_flow`` name once per row, so that many sums can test it cheaply."""
+    return moves.withColumns({f"__{v}": composite_key(F.col(c), F.col(flow)) for v, c in views.items()})
+
+
+def flow_keys(keyed: DataFrame, views: Mapping[str, str]) -> dict[str, list[str]]:
     """The ``value_flow`` names found in the data, by view."""
-    return {
-        v: levels(moves, composite_key(F.col(c), F.col(flow)), f"view {v}") for v, c in views.items()
-    }
+    return {v: levels(keyed, F.col(f"__{v}"), f"view {v}") for v in views}
 
 
-def flow_sums(
-    views: Mapping[str, str],
-    flow: str,
-    amount: str,
-    values: Mapping[str, Sequence[str]],
-    where: Column | None = None,
-    scale: int | None = None,
-) -> list[Column]:
-    """Aggregates, one per ``value_flow`` name of every view; names the client lacks sum to 0."""
+def flow_sums(amount: str, values: Mapping[str, Sequence[str]], scale: int | None = None) -> list[Column]:
+    """Aggregates over keyed movements, one per ``value_flow`` name; names a client lacks sum to 0."""
     measured = F.col(amount) if scale is None else fixed_point(F.col(amount), scale)
     unit = F.lit(1.0 if scale is None else float(10**scale))
-    out = []
-    for view, column in views.items():
-        name_of = composite_key(F.col(column), F.col(flow))
-        for name in values[view]:
-            hit = name_of == name if where is None else (name_of == name) & where
-            out.append((F.coalesce(F.sum(F.when(hit, measured)), F.lit(0)) / unit).alias(name))
-    return out
+    return [
+        (F.coalesce(F.sum(F.when(F.col(f"__{view}") == name, measured)), F.lit(0)) / unit).alias(name)
+        for view, names in values.items()
+        for name in names
+    ]
 
 
 def flow_matrix(
@@ -64,8 +58,8 @@ def flow_matrix(
     scale: int | None = None,
 ) -> DataFrame:
     """Amounts by client and ``value_flow``, all views in one pass over the movements."""
-    names = values or flow_keys(moves, views, flow)
-    return moves.groupBy(key).agg(*flow_sums(views, flow, amount, names, scale=scale))
+    keyed = with_flow_keys(moves, views, flow)
+    return keyed.groupBy(key).agg(*flow_sums(amount, values or flow_keys(keyed, views), scale))
 
 
 def per_period(df: DataFrame, columns: Sequence[str], periods: str) -> DataFrame:
@@ -91,8 +85,9 @@ def behaviour(
     """
     names = [n for v in views for n in values[v]]
     keys = [key, *extra_keys]
-    by_period = moves.groupBy(*keys, period.alias("__period")).agg(
-        F.count(F.lit(1)).alias("__n"), *flow_sums(views, flow, amount, values, scale=scale)
+    keyed = with_flow_keys(moves.withColumn("__period", period), views, flow)
+    by_period = keyed.groupBy(*keys, "__period").agg(
+        F.count(F.lit(1)).alias("__n"), *flow_sums(amount, values, scale)
     )
     summed = by_period.groupBy(*keys).agg(
         F.sum("__n").alias("n_moves"),
