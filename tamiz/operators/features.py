@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamiz.functions.numbers import distinct_periods, exact_sum, fixed_point, half_even, rate_per, safe_ratio
+from tamiz.functions.numbers import distinct_periods, half_even, rate_per, safe_ratio
 from tamiz.functions.text import composite_key
 
 # One-hot columns and pivots become schema, so their number has a ceiling.
@@ -37,12 +37,20 @@ def flow_keys(keyed: DataFrame, views: Mapping[str, str]) -> dict[str, list[str]
     return {v: levels(keyed, F.col(f"__{v}"), f"view {v}") for v in views}
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def flow_sums(amount: str, values: Mapping[str, Sequence[str]], scale: int | None = None) -> list[Column]:
-    """Aggregates over keyed movements, one per ``value_flow`` name; names a client lacks sum to 0."""
-    measured = F.col(amount) if scale is None else fixed_point(F.col(amount), scale)
-    unit = F.lit(1.0 if scale is None else float(10**scale))
+    """Aggregates over keyed movements, one per ``value_flow`` name; names a client lacks sum to 0.
+
+    With ``scale`` the sums are exact for amounts of that many decimals.
+    """
+    unit = 1.0 if scale is None else float(10**scale)
+    measured = f"`{amount}`" if scale is None else f"cast(round(`{amount}` * {unit}d, 0) AS bigint)"
     return [
-        (F.coalesce(F.sum(F.when(F.col(f"__{view}") == name, measured)), F.lit(0)) / unit).alias(name)
+        F.expr(f"coalesce(sum(CASE WHEN `__{view}` = {quoted(name)} THEN {measured} END), 0) / {unit}d AS `{name}`")
         for view, names in values.items()
         for name in names
     ]
@@ -89,13 +97,13 @@ def behaviour(
     by_period = keyed.groupBy(*keys, "__period").agg(
         F.count(F.lit(1)).alias("__n"), *flow_sums(amount, values, scale)
     )
-    summed = by_period.groupBy(*keys).agg(
+    total = "sum(`{0}`)" if scale is None else f"sum(cast(round(`{{0}}` * {10**scale}d, 0) AS bigint)) / {10**scale}d"
+    return by_period.groupBy(*keys).agg(
         F.sum("__n").alias("n_moves"),
         F.count(F.lit(1)).alias("n_periods"),
-        *[exact_sum(F.col(f"`{n}`"), scale).alias(n) for n in names],
+        F.expr("bround(sum(__n) / count(1), 0) AS num_transa"),
+        *[F.expr(f"{total.format(n)} / count(1) AS `{n}`") for n in names],
     )
-    out = summed.withColumn("num_transa", half_even(F.col("n_moves") / F.col("n_periods")))
-    return per_period(out, names, "n_periods").select(*keys, "n_moves", "n_periods", "num_transa", *names)
 
 
 def one_hot(df: DataFrame, levels_of: Mapping[str, Sequence[str]] | Sequence[str]) -> DataFrame:

@@ -98,10 +98,10 @@ def feature_tables(clients: DataFrame, moves: DataFrame, scale: int | None = Non
     sums = behaviour(
         sided, "normalized_id", F.col("fecha_transac"), VIEWS, "tipo_transac", "monto", VIEW_VALUES, scale, ["low_side"]
     )
-    picked = ["n_moves", "n_periods", "num_transa", *FLOW_COLUMNS]
+    # Two rows per client at most; the low-amount side compares greater and wins.
     own_side = sums.groupBy("normalized_id").agg(
-        F.max("low_side").alias("low_side"), *[F.max_by(c, "low_side").alias(c) for c in picked]
-    )
+        F.max(F.struct("low_side", "num_transa", *FLOW_COLUMNS)).alias("side")
+    ).select("normalized_id", "side.*")
     population = (
         F.when(F.col("low_side"), LOW_AMOUNT)
         .when(F.col("tipo_documento") == LEGAL_DOCUMENT, LEGAL)

@@ -91,7 +91,9 @@ def read_moves(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     Rows of a damaged line keep what could be read and say so in ``damaged``.
     """
     rows = _scan(spark, path, MOVE_COLUMNS, "PERMISSIVE", pattern)
-    rows = rows.select(*MOVE_COLUMNS, F.col(DAMAGED).isNotNull().alias("damaged"), F.col("_metadata.file_path").alias("_path"))
+    # Spark refuses a scan of the damage mark alone, so the test also reads the first column.
+    damaged = F.col(DAMAGED).isNotNull() & (F.length(F.coalesce("num_ident", F.lit(""))) >= 0)
+    rows = rows.select(*MOVE_COLUMNS, damaged.alias("damaged"), F.col("_metadata.file_path").alias("_path"))
     return with_provenance(_typed_moves(rows, parse_day_month_year(F.col("fecha_transac"))), kind=True)
 
 

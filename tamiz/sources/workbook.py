@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tamiz.functions.dates import parse_dotted
 from tamiz.functions.numbers import to_double, to_int
 from tamiz.functions.text import file_base_name, semester_in_name, snake_names, year_in_name
+from tamiz.operators.features import levels
 
 DATE_FORMATS = frozenset(range(14, 23)) | frozenset(range(27, 37)) | frozenset(range(45, 48)) | frozenset(range(50, 59))
 EPOCH = datetime(1899, 12, 30)
@@ -75,7 +76,7 @@ def sheet_rows(content: bytes, sheet: str | int = 0) -> Iterator[tuple[int, list
             at = _column_number(cell.get("r")) if cell.get("r") else len(cells)
             cells += [None] * (at + 1 - len(cells))
             kind = cell.get("t")
-            value = next((c.text for c in cell if c.tag.endswith("}v")), None)
+            value = next((c.text for c in cell if c.tag.rsplit("}", 1)[-1] == "v"), None)
             if kind == "inlineStr":
                 value = _text(cell)
             elif kind == "s" and value is not None:
@@ -86,7 +87,14 @@ def sheet_rows(content: bytes, sheet: str | int = 0) -> Iterator[tuple[int, list
         yield int(row.get("r")), cells
 
 
-def _parse(sheet: str | int, skip: int, width: int):
+def _by_header(rows: list[tuple[int, list]], headers: list[str]) -> list[tuple[int, list]]:
+    """Data rows with their cells put in the order of ``headers``; a header the sheet lacks gives None."""
+    at = {name: i for i, name in enumerate(rows[0][1])} if rows else {}
+    places = [at.get(h, -1) for h in headers]
+    return [(n, [c[i] if 0 <= i < len(c) else None for i in places]) for n, c in rows[1:]]
+
+
+def _parse(sheet: str | int, skip: int, width: int, headers: list[str] | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
@@ -95,6 +103,8 @@ def _parse(sheet: str | int, skip: int, width: int):
                 except (KeyError, zipfile.BadZipFile, IndexError):
                     yield pd.DataFrame({"path": [path], "row_no": [0], "cells": [None], "unreadable": [True]})
                     continue
+                if headers is not None:
+                    rows = _by_header(rows, headers)
                 for i in range(0, len(rows), 10_000):
                     part = rows[i : i + 10_000]
                     yield pd.DataFrame(
@@ -115,10 +125,21 @@ def workbooks(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFr
     return files.load(path).select("path", "content")
 
 
-def read_cells(files: DataFrame, sheet: str | int = 0, skip: int = 0, width: int = 1) -> DataFrame:
-    """``path, row_no, cells, unreadable``: rows after the first ``skip``, numbered from 1, cells as text."""
+def read_cells(
+    files: DataFrame, sheet: str | int = 0, skip: int = 0, width: int = 1, headers: list[str] | None = None
+) -> DataFrame:
+    """``path, row_no, cells, unreadable``: rows after the first ``skip``, numbered from 1, cells as text.
+
+    With ``headers`` the first row names the columns and the cells follow the order of ``headers``.
+    """
     schema = "path string, row_no bigint, cells array<string>, unreadable boolean"
-    return files.select("path", "content").mapInPandas(_parse(sheet, skip, width), schema)
+    return files.select("path", "content").mapInPandas(_parse(sheet, skip, width, headers), schema)
+
+
+def sheet_headers(files: DataFrame, sheet: str | int = 0, skip: int = 0) -> list[str]:
+    """Header names found in any of the workbooks."""
+    heads = read_cells(files, sheet, skip).where("row_no = 1").select(F.explode("cells").alias("h"))
+    return levels(heads, F.col("h"), "sheet header")
 
 
 def unreadable_files(cells: DataFrame) -> DataFrame:
@@ -179,18 +200,14 @@ def read_typed_sheet(files: DataFrame, sheet: str | int, types: Mapping[str, str
 
     ``headers`` are the wanted columns; a file that lacks one gives nulls. Names come out in snake case.
     """
-    cells = read_cells(files, sheet, 0, len(headers)).where("not unreadable")
-    heads = cells.where("row_no = 1").select(F.col("path").alias("p"), F.col("cells").alias("head"))
-    body = cells.where("row_no > 1").join(heads, F.col("path") == F.col("p"))
+    cells = read_cells(files, sheet, 0, len(headers), headers).where("not unreadable")
     picks = []
-    for header, name in zip(headers, snake_names(headers)):
-        cell = F.get("cells", F.array_position("head", header).cast("int") - 1)
-        cell = F.when(F.array_contains("head", header), cell)
-        kind = types.get(header)
+    for i, (header, name) in enumerate(zip(headers, snake_names(headers))):
+        cell, kind = F.get("cells", F.lit(i)), types.get(header)
         typed = _any_day(cell) if kind == "date" else to_double(cell) if kind == "double" else cell
         picks.append(typed.alias(name))
     source = file_base_name(F.col("path"))
-    return body.select(*picks, source.alias("source_file"), semester_in_name(source).alias("semestre"))
+    return cells.select(*picks, source.alias("source_file"), semester_in_name(source).alias("semestre"))
 
 
 def read_semester_files(files: DataFrame, client_headers: list[str], move_headers: list[str]) -> tuple[DataFrame, DataFrame]:
