@@ -54,7 +54,7 @@ def activity_summary_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _item_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem", spread=True).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

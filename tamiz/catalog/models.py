@@ -240,7 +240,7 @@ def attach_labels_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boxcox_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("price"))
+    orders = table(spark, sf_dir, "orders", spread=True).select(F.col("o_totalprice").alias("price"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("balance"))
     return orders.unionByName(customers, allowMissingColumns=True)
 

@@ -50,7 +50,7 @@ def shifted(c):
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One incident per line item, in the department of the customer's nation."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity")
+    items = table(spark, sf_dir, "lineitem", spread=True).select("l_orderkey", "l_shipdate", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
@@ -140,7 +140,7 @@ raw_clients AS (
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One movement per line item; no discount stands for a zero amount, no tax for a missing one."""
-    items = table(spark, sf_dir, "lineitem").select(
+    items = table(spark, sf_dir, "lineitem", spread=True).select(
         "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate",
     )

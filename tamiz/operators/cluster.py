@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -39,24 +39,20 @@ def micro_cluster(
     Returns ``(center_id, center, size)`` and ``(id, center_id)``.
     """
     spark = scores.sparkSession
-    vectors = scores.select(id_col, array_to_vector(vec_col).alias("features")).persist()
-    try:
-        rows = vectors.count()
-        if rows <= k:  # every row is its own centre
-            numbered = vectors.withColumn("center_id", F.row_number().over(Window.orderBy(id_col)).cast("int") - 1)
-            assigned = cut_lineage(numbered.select(id_col, "center_id", vector_to_array("features").alias("center")))
-            centres = assigned.select("center_id", "center", F.lit(1).cast("bigint").alias("size"))
-            return centres, assigned.select(id_col, "center_id")
-        best = None
-        for start in range(starts):
-            model = KMeans(k=k, maxIter=max_iter, seed=seed + start).fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        assigned = cut_lineage(
-            best.transform(vectors).select(id_col, F.col("prediction").cast("int").alias("center_id"))
-        )
-    finally:
-        vectors.unpersist()
+    stored = cut_lineage(scores.select(id_col, F.col(vec_col).alias("center")))
+    if stored.count() <= k:  # every row is its own centre
+        number = F.row_number().over(Window.orderBy(id_col)).cast("int") - 1
+        numbered = cut_lineage(stored.withColumn("center_id", number))
+        centres = numbered.select("center_id", "center", F.lit(1).cast("bigint").alias("size"))
+        return centres, numbered.select(id_col, "center_id")
+    vectors = stored.select(id_col, array_to_vector("center").alias("features"))
+    best = None
+    for start in range(starts):
+        model = KMeans(k=k, maxIter=max_iter, seed=seed + start).fit(vectors)
+        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+            best = model
+    assigned = best.transform(vectors).select(id_col, F.col("prediction").cast("int").alias("center_id"))
+    assigned = cut_lineage(assigned)
     sizes = assigned.groupBy("center_id").agg(F.count(F.lit(1)).alias("size"))
     centre_rows = [(i, [float(v) for v in c]) for i, c in enumerate(best.clusterCenters())]
     centres = spark.createDataFrame(centre_rows, "center_id int, center array<double>")

@@ -86,23 +86,30 @@ def behaviour(
     scale: int | None = None,
     extra_keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Activity summary and per-period flow matrix in one aggregation.
+    """Activity summary and per-period flow matrix from one pass over the movements.
 
-    Rows meet first by client and period, so a client that owns a large share of the
-    movements is spread over its periods before its few period rows are combined.
+    Movements are summed first under their full narrow key, which shrinks a client that owns
+    a large share of them inside each task. What is left of a client, at most one row per
+    period and combination of names, then meets in one place and is laid out wide there, so
+    the wide rows are never shuffled.
     """
     names = [n for v in views for n in values[v]]
     keys = [key, *extra_keys]
     keyed = with_flow_keys(moves.withColumn("__period", period), views, flow)
-    by_period = keyed.groupBy(*keys, "__period").agg(
-        F.count(F.lit(1)).alias("__n"), *flow_sums(amount, values, scale)
+    unit = 1.0 if scale is None else float(10**scale)
+    measured = f"`{amount}`" if scale is None else f"cast(round(`{amount}` * {unit}d, 0) AS bigint)"
+    narrow = keyed.groupBy(*keys, "__period", *[f"__{v}" for v in views]).agg(
+        F.count(F.lit(1)).alias("__n"), F.expr(f"sum({measured}) AS __s")
+    )
+    by_period = narrow.repartition(key).groupBy(*keys, "__period").agg(
+        F.sum("__n").alias("__n"),
+        *[F.expr(f"sum(CASE WHEN `__{v}` = {quoted(n)} THEN __s END) AS `{n}`") for v in views for n in values[v]],
     )
-    total = "sum(`{0}`)" if scale is None else f"sum(cast(round(`{{0}}` * {10**scale}d, 0) AS bigint)) / {10**scale}d"
     return by_period.groupBy(*keys).agg(
         F.sum("__n").alias("n_moves"),
         F.count(F.lit(1)).alias("n_periods"),
         F.expr("bround(sum(__n) / count(1), 0) AS num_transa"),
-        *[F.expr(f"{total.format(n)} / count(1) AS `{n}`") for n in names],
+        *[F.expr(f"coalesce(sum(`{n}`), 0) / {unit}d / count(1) AS `{n}`") for n in names],
     )
 
 

@@ -49,12 +49,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread_rows(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a file scan out to all cores when its files give fewer partitions than that."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: a short plan that survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spread_rows(spark.read.schema(df.schema).parquet(path))
 
 
 def keep_small(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
