@@ -35,9 +35,9 @@ _FLAGS = (*populations.INDUSTRY_FLAGS, *populations.STATE_FLAGS)
 _MERGED = (*populations.BALANCE, "num_transa", *[c for c in populations.FLOW_COLUMNS if not c.startswith("CDT_")])
 
 
-def _without(*dropped: str) -> tuple[str, ...]:
-    return tuple(c for c in _MERGED if c not in dropped)
-
+# Tier flows that are not modelled.
+_NOT_MODELLED = ("jurisdiccion_0_Ingreso", "jurisdiccion_3_Egreso", "jurisdiccion_3_Ingreso", "jurisdiccion_6_Ingreso")
+_CLIENT_COLUMNS = tuple(c for c in _MERGED if c not in _NOT_MODELLED)
 
 # Columns, components, method and number of segments of each population.
 MODELS = {
@@ -45,17 +45,8 @@ MODELS = {
     "associates": Model(
         tuple(associates.SHORT_NAMES.values()), associates.CONTINUOUS, 10, "hierarchical", 5, False
     ),
-    "persona_natural": Model(
-        _FLAGS, _without("jurisdiccion_3_Ingreso", "jurisdiccion_6_Ingreso"), 13, "hierarchical", 6, True
-    ),
-    "persona_juridica": Model(
-        _FLAGS,
-        _without("jurisdiccion_3_Ingreso", "jurisdiccion_3_Egreso", "jurisdiccion_0_Ingreso"),
-        14,
-        "hierarchical",
-        6,
-        False,
-    ),
+    "persona_natural": Model(_FLAGS, _CLIENT_COLUMNS, 13, "hierarchical", 6, True),
+    "persona_juridica": Model(_FLAGS, _CLIENT_COLUMNS, 14, "hierarchical", 6, False),
     "bajo_monto": Model(
         (), ("num_transa", "Ahorro_Egreso", "Ahorro_Ingreso", "Virtual_Egreso", "Virtual_Ingreso"), 2, "clara", 4, True
     ),

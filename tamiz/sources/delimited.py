@@ -49,9 +49,10 @@ def _scan(spark: SparkSession, path: str, columns: tuple[str, ...], mode: str, p
     return reader.schema(schema).csv(path)
 
 
-def header_names(spark: SparkSession, path: str) -> list[str]:
+def header_names(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
     """Column names of a file, read from its first line."""
-    return spark.read.option("sep", "|").option("header", True).option("recursiveFileLookup", True).csv(path).columns
+    reader = spark.read.option("sep", "|").option("header", True).option("recursiveFileLookup", True)
+    return (reader.option("pathGlobFilter", pattern) if pattern else reader).csv(path).columns
 
 
 def narrow_files(spark: SparkSession, path: str, least: int, pattern: str | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def narrow_files(spark: SparkSession, path: str, least: int, pattern: str | None
 
 def read_clients(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Clients with the first twelve columns bound by position; lines of another width are left out."""
-    extra = max(len(header_names(spark, path)) - len(CLIENT_COLUMNS), 0)
+    extra = max(len(header_names(spark, path, pattern)) - len(CLIENT_COLUMNS), 0)
     columns = CLIENT_COLUMNS + tuple(f"_extra{i}" for i in range(extra))
     rows = _scan(spark, path, columns, "DROPMALFORMED", pattern)
     rows = rows.select(*CLIENT_COLUMNS, F.col("_metadata.file_path").alias("_path"))
