@@ -27,9 +27,16 @@ def referential_filter(
     """Clients that have movements and movements that have a client.
 
     ``dedupe`` also drops rows that repeat another one in every column.
+
+    The movements meet the client keys on a copy of ``key`` that is dropped again. The planner then
+    cannot reuse that partitioning for later steps, which would tie every row of a very large client
+    to one task: the join may split such a client, and copies collapse inside the tasks before they
+    are shuffled by all columns.
     """
     kept_clients = clients.join(moves.select(key).distinct(), key, "left_semi")
-    kept_moves = moves.join(clients.select(key).distinct(), key, "left_semi")
+    copy = F.concat(F.col(key).cast("string"), F.lit("")).alias("__key")
+    known = clients.select(copy).distinct()
+    kept_moves = moves.select("*", copy).join(known, "__key", "left_semi").drop("__key")
     if dedupe:
         kept_clients, kept_moves = kept_clients.distinct(), kept_moves.distinct()
     return kept_clients, kept_moves

@@ -52,10 +52,11 @@ def point_profile(points: DataFrame, max_items: int = MAX_ITEMS, neighbours: int
     """
     spark = points.sparkSession
     rows = points.select("id", "vec", "label")
-    labels_of = {r["id"]: r["label"] for r in rows.select("id", "label").take(max_items + 1)}
-    ids, x = bounded_matrix(rows, "id", "vec", max_items)
-    names = sorted(set(labels_of.values()))
-    code = np.array([names.index(labels_of[i]) for i in ids])
+    keyed = rows.select(F.struct("id", "label").alias("id"), "vec")
+    pairs, x = bounded_matrix(keyed, "id", "vec", max_items)
+    ids = [p["id"] for p in pairs]
+    names = sorted({p["label"] for p in pairs})
+    code = np.array([names.index(p["label"]) for p in pairs])
     shared = spark.sparkContext.broadcast((np.array(ids), x, code))
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,16 +327,14 @@ def summary_table(validation: DataFrame, stability: DataFrame, digits: int = 3)
 
 def best_configuration(validation: DataFrame) -> DataFrame:
     """``measure, score, method, k``: lowest connectivity, highest Dunn index, highest silhouette."""
-    def pick(measure: str, best) -> list:
-        at = F.struct(F.col("method"), F.col("k"))
-        score = F.col(measure)
-        order = F.struct(score if best is F.min_by else -score, F.col("method"), F.col("k"))
-        return [F.struct(F.lit(measure).alias("measure"), F.min_by(F.struct(score.alias("score"), at.alias("at")), order).alias("v"))]
-
-    rows = validation.agg(
-        F.array(*pick("connectivity", F.min_by), *pick("dunn", F.max_by), *pick("silhouette", F.max_by)).alias("r")
-    ).select(F.explode("r").alias("r"))
-    return rows.select("r.measure", "r.v.score", "r.v.at.method", "r.v.at.k")
+    wanted = {"connectivity": F.col("connectivity"), "dunn": -F.col("dunn"), "silhouette": -F.col("silhouette")}
+    winners = [
+        F.min_by(
+            F.struct(F.lit(m).alias("measure"), F.col(m).alias("score"), "method", "k"), F.struct(order, "method", "k")
+        )
+        for m, order in wanted.items()
+    ]
+    return validation.agg(F.array(*winners).alias("r")).select(F.inline("r"))
 
 
 def rescaled_metrics(table: DataFrame, metrics: Sequence[str]) -> DataFrame:
