@@ -144,7 +144,7 @@ def best_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_GRID_SQL} "
     + " UNION ALL ".join(
         f"""SELECT method, k, '{m}' AS metric, round({m}, 4) AS value, round(({m} - min({m}) OVER ())
-        / (max({m}) OVER () - min({m}) OVER ()), 6) AS scaled FROM grid"""
+        / nullif(max({m}) OVER () - min({m}) OVER (), 0), 6) AS scaled FROM grid"""
         for m in ("connectivity", "dunn", "silhouette")
     ),
 )
