@@ -88,7 +88,7 @@ def activity_group(activity: Column) -> Column:
 
 
 def education_level(education: Column) -> Column:
-    """Four ordered levels; a missing value stays missing only past the set tests."""
+    """Four ordered levels; a missing value stays missing."""
     return (
         F.when(education.isin("Primaria", "Bachillerato"), "01_Basico")
         .when(education.isin("Tecnico", "Tecnologia"), "02_Tecnologico")
