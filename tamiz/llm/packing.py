@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tamiz.llm.vocabulary import Vocabulary, default_path
+from tamiz.llm.vocabulary import Vocabulary, default_path, for_worker
 
 LENGTH = 2048
 END_ID = 1
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, number = Vocabulary(path), TaskContext.get().partitionId() << 32
+        vocabulary, number = for_worker(path), TaskContext.get().partitionId() << 32
 
         def flush(block: _Block) -> pa.RecordBatch:
             nonlocal number

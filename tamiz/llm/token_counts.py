@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamiz.llm.vocabulary import Vocabulary, default_path
+from tamiz.llm.vocabulary import Vocabulary, default_path, for_worker
 
 LIMIT_TOKENS = 2048
 SUB_BYTES = 8 << 20
@@ -49,7 +49,7 @@ def token_prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = for_worker(path)
         for batch in batches:
             rows, held = [], 0
             for id_, text in zip(batch.column(0), batch.column(1)):

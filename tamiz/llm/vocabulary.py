@@ -1,18 +1,22 @@
 """Token ids of a public word-level BPE vocabulary, with a bounded memo of white-space-free chunks.
 
 No token of the vocabulary spans ASCII white space, and its normalisation never looks across it, so the ids of a text are
-the ids of its chunks in order. Each distinct chunk goes to the library once per task; the memo holds at most ``LIMIT``
-chunks of at most ``LONGEST`` bytes.
+the ids of its chunks in order. A chunk's closing punctuation behind a letter or digit is a piece of its own for the
+vocabulary, and ASCII letters lose their case, so ``Word,`` is looked up as ``word`` and ``,``. Each distinct piece goes
+to the library once per worker; the memo holds at most ``LIMIT`` chunks of at most ``LONGEST`` bytes.
 """
 
 from __future__ import annotations
 
 import os
+import sys
+import types
 
 import numpy as np
 
-LIMIT = 400_000
+LIMIT = 1_000_000
 LONGEST = 128
+CLOSING = b".,;:!?$%&*#"
 
 
 def default_path() -> str:
@@ -21,6 +25,18 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def for_worker(path: str) -> Vocabulary:
+    """The worker's own vocabulary. Task code travels by value, so a module global would be new in every task."""
+    held = sys.modules.setdefault("_tamiz_worker", types.ModuleType("_tamiz_worker")).__dict__
+    if path not in held:
+        held[path] = Vocabulary(path)
+    return held[path]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
 class Vocabulary:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -29,18 +45,39 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
         """Packed little-endian uint32 ids of each chunk."""
-        if len(self.memo) > LIMIT:
-            self.memo.clear()
-        memo = self.memo
-        new = [c for c in set(chunks).difference(memo)]
-        if new:
-            coded = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-            found = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(new, coded)}
-            memo.update((c, i) for c, i in found.items() if len(c) <= LONGEST)
-            if any(len(c) > LONGEST for c in new):
-                return [found[c] if c in found else memo[c] for c in chunks]
-        return [memo[c] for c in chunks]
+        memo = self.chunks
+        if len(memo) > LIMIT:
+            memo.clear()
+            self.pieces.clear()
+        ids = list(map(memo.get, chunks))
+        if None not in ids:
+            return ids
+        found = self._encode(list({c for c, i in zip(chunks, ids) if i is None}))
+        memo.update((c, i) for c, i in found.items() if len(c) <= LONGEST)
+        return [found[c] if i is None else i for c, i in zip(chunks, ids)]
+
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        split = [_core_and_closing(c) for c in chunks]
+        pieces = {p: self.pieces[p] for pair in split for p in pair if p in self.pieces}
+        new = [p for p in {p for pair in split for p in pair} if p not in pieces]
+        plain = [p for p in new if p.isalpha()]  # ASCII letters only: one pre-token, nothing to normalise
+        model = self.tokenizer.model
+        pieces |= {p: _packed([t.id for t in model.tokenize(p.decode())]) for p in plain}
+        other = [p for p in new if not p.isalpha()]
+        coded = self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
+        pieces |= {p: _packed(e.ids) for p, e in zip(other, coded)}
+        self.pieces.update((p, pieces[p]) for p in new if len(p) <= LONGEST)
+        return {c: pieces[core] + pieces[closing] for c, (core, closing) in zip(chunks, split)}
+
+
+def _core_and_closing(chunk: bytes) -> tuple[bytes, bytes]:
+    core = chunk.rstrip(CLOSING)
+    if len(core) < len(chunk) and not (core and core[-4:].decode("utf-8", "replace")[-1:].isalnum()):
+        core = chunk
+    closing = chunk[len(core) :]
+    return (core.lower() if core.isascii() and b"<" not in core else core), closing
