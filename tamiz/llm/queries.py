@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamiz.llm import (
-    exact_dedup, langid, mixing, packing, quality_rules, simhash, token_counts, warc, weak_quality,
+    exact_dedup, langid, mixing, packing, quality_rules, simhash, substring_dedup, token_counts, warc, weak_quality,
 )
 from tamiz.llm.base import query, read
 
@@ -41,6 +41,12 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, sf_dir):
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark, sf_dir):
     stored = token_counts.token_prefixes(read(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ from hypothesis import given, settings, strategies as st
 
 import __spark_entry__ as entry
 from tamiz.llm import (
-    components, exact_dedup, langid, mixing, packing, quality_rules, simhash, token_counts, vocabulary, warc, weak_quality,
+    components, exact_dedup, langid, mixing, packing, quality_rules, simhash, substring_dedup, token_counts, vocabulary, warc, weak_quality,
 )
 from tamiz.llm.base import read
 from tests.compare import differences, oracle
@@ -188,6 +188,75 @@ def test_drop_near_copies(spark, odd, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+# --- repeated substrings
+
+
+def spans_brute(rows, length):
+    """(id, removed mask) per row in input order; rows sorted by id, then text hash as the operator defines."""
+    seen, out = set(), []
+    for i, raw in rows:
+        mask = np.zeros(len(raw), dtype=bool)
+        for s in range(len(raw) - length + 1):
+            part = raw[s : s + length]
+            if part in seen:
+                mask[s : s + length] = True
+            seen.add(part)
+        out.append((i, raw, mask))
+    return out
+
+
+def removal_rows(rows, length):
+    want = Counter()
+    for i, raw, mask in spans_brute(rows, length):
+        runs = int(np.diff(mask.astype(int), prepend=0).clip(0).sum())
+        kept = hashlib.sha256(bytes(b for b, m in zip(raw, mask) if not m)).hexdigest()
+        want[(i, len(raw), int(mask.sum()), runs, kept)] += 1
+    return want
+
+
+def removed(df):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect())
+
+
+@given(st.binary(max_size=900).map(lambda b: bytes(97 + x % 3 for x in b)))
+@settings(max_examples=100, deadline=None)
+def test_phrases_hold_every_string_once(raw):
+    _, at, starts, counts = substring_dedup.phrases(raw)
+    got = np.concatenate([np.arange(s, s + c) for s, c in zip(starts, counts)]) if len(starts) else np.zeros(0)
+    assert got.tolist() == list(range(max(0, len(raw) - 99)))
+    assert all(s + c - 1 <= t <= s + 68 for t, s, c in zip(at, starts, counts))
+
+
+def test_remove_repeats(spark, odd, empty):
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    passages = [letters(n) for n in (99, 100, 101, 140, 400)]
+    rows = []
+    for i in range(60):
+        parts = [letters(int(rng.integers(0, 300)))]
+        for _ in range(int(rng.integers(0, 3))):
+            parts += [passages[int(rng.integers(0, 5))], letters(int(rng.integers(0, 120)))]
+        rows.append((i, "".join(parts)))
+    near = list(rows[3][1] + letters(500))
+    rows += [(60, "".join(near))]
+    near[len(near) // 2] = "#"
+    rows += [(61, "".join(near)), (62, "a" * 700), (63, "ab" * 300 + letters(50)), (64, "a" * 90), (65, None), (66, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert removed(substring_dedup.remove_repeats(docs)) == removal_rows([(i, (t or "").encode()) for i, t in rows], 100)
+    # rows with a missing id come last; a repeated row is a later one
+    rows = [(1, passages[4]), (2, passages[4][:250] + "x" * 30), (2, passages[4][:250] + "x" * 30), (None, passages[4] + "tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(substring_dedup.remove_repeats(docs)) == removal_rows([(i, t.encode()) for i, t in rows], 100)
+    assert substring_dedup.remove_repeats(odd).count() == len(odd_rows())
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+@needs_tables
+def test_remove_repeats_table(spark, small):
+    rows = sorted((r.doc_id, r.text) for r in small.collect())
+    assert removed(substring_dedup.remove_repeats(small)) == removal_rows([(i, t.encode()) for i, t in rows], 100)
+
+
 # --- quality rules
 
 
