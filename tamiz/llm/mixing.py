@@ -24,7 +24,7 @@ MAX_TIMES = 3
 SEED = 20240601
 # A block has up to BLOCK_WORDS words, fewer on small inputs so that there are about MIN_SLOTS slots.
 BLOCK_WORDS, LEAST_WORDS, MIN_SLOTS = 1024, 16, 65_536
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 SLOT_CHUNK = 16  # log2 of the slots that are ranked together
 BINS = 65_536
 # 2^32 / golden ratio; a slot number below 2^31 times this stays below 2^63.
