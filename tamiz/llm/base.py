@@ -60,3 +60,7 @@ class Stages:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
             path.getFileSystem(conf).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps: it does so when the driver collects their handles."""
+        self.spark._jvm.System.gc()

@@ -8,12 +8,14 @@ string of ``length`` bytes that occurs in a text lies in exactly one of its phra
 Dictionary and parse. Phrases whose trigger content occurs once in the corpus cannot hold a repeated string and end there
 (narrow rows only). The others are named by content; a name's first occurrence in corpus order is the only one that can
 keep bytes. Suffixes: dictionary phrases that share a trigger with a different phrase are taken apart into their suffixes,
-named to the depth ``length`` (no phrase needs its neighbour for that, so the parse needs no suffix order of its own), and
-each name gets its first place in the corpus. What is not first is covered and goes.
+compared to the depth ``length`` (no phrase needs its neighbour for that, so the parse needs no suffix order of its own),
+in corpus order. What is not first is covered and goes. Up to ``GROUP`` phrases of a trigger meet in one task, which reads
+them in corpus order; the suffixes of a trigger with more are named by content and spread over all tasks. Both are exact.
 
-Shuffles: trigger rows (about one per 35 bytes) twice, texts twice (to fetch phrases, to cut them), contents only of
-phrases whose trigger repeats. Aggregates are map-side first and look-ups are plain joins that AQE can split, so a passage
-in a third of all rows costs no single task. Steps are written to the shared folder; names are 128-bit digests.
+Shuffles: trigger rows (about one per 35 bytes) twice, texts three times (to name phrases, to fetch those taken apart, to
+cut), phrases whose trigger repeats as digests, contents only of those taken apart. Aggregates are map-side first and
+look-ups are plain joins that AQE can split, so a passage in a third of all rows costs no single task. Steps are written
+to the shared folder and old shuffles are released behind them; names are 128-bit digests.
 
 Defined cases: a null text is empty; texts below ``length`` bytes lose nothing. Order is by id, missing ids last; rows that
 share an id are ordered by their text's hash, and of repeated rows (same id and text) all but one are later ones and lose
@@ -35,6 +37,9 @@ LENGTH = 100
 GRAM = 32
 SEGMENT = 1 << 18  # starts that are worked on at once
 OUT_ROWS = 200_000
+GROUP = 500  # phrases of one trigger that one task compares; triggers with more are spread string by string
+PLACE = (("_no_id", pa.bool_()), ("_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()))
+PLACE_DDL = "_no_id boolean, _id long, hash long, start long"
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -76,6 +81,10 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def _triggers(docs: DataFrame, length: int) -> DataFrame:
     schema = pa.schema([("seed", pa.int64()), ("_id", pa.int64()), ("_no_id", pa.bool_()), ("at", pa.int64())])
 
@@ -94,30 +103,105 @@ def _triggers(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _phrase_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Phrases of ``docs(_id, _no_id, hash, text, at)`` whose trigger position is in ``at``, with their bytes."""
-    names = "_no_id boolean, _id long, hash long, start long, count long, seed long, name binary, body binary"
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    schema = pa.schema([(n.split()[0], k) for n, k in zip(names.split(", "), kinds)])
+    """Phrases of ``docs(_no_id, _id, hash, text, at)`` whose trigger position is in ``at``: place, count, trigger, name."""
+    schema = pa.schema([*PLACE, ("count", pa.int64()), ("seed", pa.int64()), ("name", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, (no_id, id_, hash_, text, at) in enumerate(zip(*batch.columns)):
+            for no_id, id_, hash_, text, at in zip(*batch.columns):
                 raw = _raw(text.as_py())
                 seeds, spots, starts, counts = phrases(raw, length)
                 keep = np.isin(spots, np.asarray(at.values))
                 key = no_id.as_py(), id_.as_py(), hash_.as_py()
                 for seed, start, count in zip(seeds[keep].tolist(), starts[keep].tolist(), counts[keep].tolist()):
-                    body = raw[start : start + count - 1 + length]
-                    rows.append((*key, start, count, seed, hashlib.md5(body).digest(), body))
-                if rows and (len(rows) >= OUT_ROWS // 4 or i == batch.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
+                    rows.append((*key, start, count, seed, hashlib.md5(raw[start : start + count - 1 + length]).digest()))
+                if len(rows) >= OUT_ROWS // 4:
+                    yield _batch(rows, schema)
                     rows = []
+            if rows:
+                yield _batch(rows, schema)
 
+    names = f"{PLACE_DDL}, count long, seed long, name binary"
     return docs.select("_no_id", "_id", "hash", "text", "at").mapInArrow(run, names)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _bodies(docs: DataFrame, length: int) -> DataFrame:
+    """Bytes of the phrases of ``docs(_no_id, _id, hash, text, parts)``; a part has start, count, seed and n."""
+    schema = pa.schema([*PLACE, ("seed", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for no_id, id_, hash_, text, parts in zip(*batch.columns):
+                raw, key = _raw(text.as_py()), (no_id.as_py(), id_.as_py(), hash_.as_py())
+                for start, count, seed, n in zip(*[parts.values.field(k).to_pylist() for k in range(4)]):
+                    rows.append((*key, start, seed, n, raw[start : start + count - 1 + length]))
+                if len(rows) >= OUT_ROWS // 4:
+                    yield _batch(rows, schema)
+                    rows = []
+            if rows:
+                yield _batch(rows, schema)
+
+    return docs.select("_no_id", "_id", "hash", "text", "parts").mapInArrow(run, f"{PLACE_DDL}, seed long, n long, body binary")
+
+
+def _later_windows(bodies: DataFrame, length: int) -> DataFrame:
+    """Covered ranges among phrases of small trigger groups, read in order of (trigger, place).
+
+    A task holds the strings of one trigger at a time, at most ``GROUP`` phrases.
+    """
+    schema = pa.schema([*PLACE, ("end", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last, seen = None, None, set()
+        for batch in batches:
+            rows = []
+            for seed, no_id, id_, hash_, start, body in zip(*[c.to_pylist() for c in batch.columns]):
+                if seed != current:
+                    current, last, seen = seed, None, set()
+                place = no_id, id_, hash_, start
+                if place == last:  # the same phrase of a repeated row
+                    continue
+                last, open_ = place, None
+                for i in range(len(body) - length + 1):
+                    part = body[i : i + length]
+                    if part in seen:
+                        open_ = i if open_ is None else open_
+                        continue
+                    seen.add(part)
+                    if open_ is not None:
+                        rows.append((no_id, id_, hash_, start + open_, start + i - 1 + length))
+                        open_ = None
+                if open_ is not None:
+                    rows.append((no_id, id_, hash_, start + open_, start + len(body)))
+            if rows:
+                yield _batch(rows, schema)
+
+    order = ["seed", "_no_id", "_id", "hash", "start"]
+    return bodies.select(*order, "body").repartition("seed").sortWithinPartitions(*order).mapInArrow(run, f"{PLACE_DDL}, end long")
+
+
+def _later_suffixes(stages: Stages, bodies: DataFrame, length: int) -> DataFrame:
+    """As ``_later_windows`` for triggers with more phrases: one row per string, spread by its name."""
+    place = ["_no_id", "_id", "hash"]
+    starts = F.sequence(F.lit(0), F.length("body") - length)
+    suffixes = stages.keep(
+        bodies.select(*place, "start", "body", F.explode(starts).alias("i")).select(
+            F.unhex(F.md5(F.substring(F.col("body"), F.col("i") + 1, F.lit(length)))).alias("name"),
+            F.struct(*place, (F.col("start") + F.col("i")).alias("start")).alias("at"),
+        )
+    )
+    first = suffixes.groupBy("name").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    out = stages.keep(
+        suffixes.join(first, "name").filter(F.col("at") != F.col("first"))
+        .select(*[f"at.{c}" for c in place], "at.start", (F.col("at.start") + length).alias("end"))
+    )
+    stages.drop(suffixes)
+    return out
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Covered byte ranges of ``docs(_id, _no_id, hash, text)``: the keys and start, end (overlapping, unordered)."""
     stages = Stages(docs.sparkSession)
     place = ["_no_id", "_id", "hash"]
@@ -127,36 +211,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         triggers.join(twice, "seed", "left_semi").groupBy("_id", "_no_id").agg(F.collect_list("at").alias("at"))
     )
     stages.drop(triggers, twice)
+    stages.release()
     found = stages.keep(_phrase_rows(docs.join(wanted, ["_id", "_no_id"]), length))
     stages.drop(wanted)
+    stages.release()
     at = F.struct(*place, "start")
     named = stages.keep(
-        found.groupBy("name").agg(F.min(at).alias("first"), F.any_value("body").alias("body"), F.any_value("seed").alias("seed"))
+        found.groupBy("name").agg(F.min(at).alias("first"), F.any_value("count").alias("count"), F.any_value("seed").alias("seed"))
     )
     whole = stages.keep(
         found.select("name", *place, "start", "count").join(named.select("name", "first"), "name").filter(at != F.col("first"))
         .select(*place, "start", (F.col("start") + F.col("count") - 1 + length).alias("end"))
     )
     stages.drop(found)
-    shared = stages.keep(named.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed"))
-    starts = F.sequence(F.lit(0), F.length("body") - length)
-    suffixes = (
-        named.join(shared, "seed", "left_semi")
-        .select("first", "body", F.explode(starts).alias("i"))
-        .select(
-            F.unhex(F.md5(F.substring(F.col("body"), F.col("i") + 1, F.lit(length)))).alias("name"),
-            F.struct(*[F.col(f"first.{c}").alias(c) for c in place], (F.col("first.start") + F.col("i")).alias("start")).alias("at"),
-        )
-    )
-    suffixes = stages.keep(suffixes)
+    stages.release()
+    shared = stages.keep(named.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    apart = stages.keep(named.join(shared, "seed").select("first.*", "count", "seed", "n"))
     stages.drop(named, shared)
-    first = suffixes.groupBy("name").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    parts = stages.keep(
-        suffixes.join(first, "name").filter(F.col("at") != F.col("first"))
-        .select(*[f"at.{c}" for c in place], "at.start", (F.col("at.start") + length).alias("end"))
-    )
-    stages.drop(suffixes)
-    return whole.unionAll(parts)
+    stages.release()
+    parts = F.collect_list(F.struct("start", "count", "seed", "n")).alias("parts")
+    bodies = stages.keep(_bodies(docs.join(apart.groupBy(*place).agg(parts), place), length))
+    stages.drop(apart)
+    stages.release()
+    few = stages.keep(_later_windows(bodies.filter(F.col("n") <= group), length))
+    many = _later_suffixes(stages, bodies.filter(F.col("n") > group), length)
+    stages.drop(bodies)
+    stages.release()
+    return whole.unionAll(few).unionAll(many)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,13 +250,15 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], reach[last]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group: int = GROUP
+) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     base = docs.select(
         *id_keys(id_col), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("hash", F.xxhash64("text"))
     keys = ["_no_id", "_id", "hash"]
-    spans = repeated_spans(base, length).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(base, length, group).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
     rows = base.join(spans, keys, "left").withColumn("nth", nth).select("id", "text", "spans", (F.col("nth") > 1).alias("again"))
     names = "id long, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -243,6 +243,8 @@ def test_remove_repeats(spark, odd, empty):
     rows += [(61, "".join(near)), (62, "a" * 700), (63, "ab" * 300 + letters(50)), (64, "a" * 90), (65, None), (66, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert removed(substring_dedup.remove_repeats(docs)) == removal_rows([(i, (t or "").encode()) for i, t in rows], 100)
+    spread = substring_dedup.remove_repeats(docs, group=1)  # every shared trigger taken apart string by string
+    assert removed(spread) == removal_rows([(i, (t or "").encode()) for i, t in rows], 100)
     # rows with a missing id come last; a repeated row is a later one
     rows = [(1, passages[4]), (2, passages[4][:250] + "x" * 30), (2, passages[4][:250] + "x" * 30), (None, passages[4] + "tail")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
