@@ -252,10 +252,11 @@ def year_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
            ELSE 'Otro' END AS activity,
       CASE WHEN nivel_escolaridad IN ('Primaria', 'Bachillerato') THEN '01_Basico'
            WHEN nivel_escolaridad IN ('Tecnico', 'Tecnologia') THEN '02_Tecnologico'
-           WHEN nivel_escolaridad = 'Universitario' THEN '03_Universitario' ELSE '04_Posgrado' END AS education,
+           WHEN nivel_escolaridad = 'Universitario' THEN '03_Universitario'
+           WHEN nivel_escolaridad IS NOT NULL THEN '04_Posgrado' END AS education,
       CASE WHEN sector_economico IN ('Sector Privado Esal', 'Sector Privado Financiero Solidario')
            THEN 'Sector Privado' ELSE sector_economico END AS sector,
-      CASE WHEN estrato IN ('1', '2', '3') THEN estrato ELSE '4-5-6' END AS stratum
+      CASE WHEN estrato IN ('1', '2', '3') THEN estrato WHEN estrato IS NOT NULL THEN '4-5-6' END AS stratum
     FROM raw_clients""",
 )
 def nested_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +273,8 @@ def nested_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "movement_recode",
-    f"""WITH {ASSOCIATE_MOVES_SQL} SELECT CASE WHEN tipo_canal_transaccion = 'Físico' THEN 'Fisico' ELSE 'Electronico'
-    END AS channel, CASE WHEN tipo_producto = 'CDT' THEN 'Ahorro' ELSE tipo_producto END AS product, count(*) AS n
+    f"""WITH {ASSOCIATE_MOVES_SQL} SELECT CASE WHEN tipo_canal_transaccion = 'Físico' THEN 'Fisico'
+    WHEN tipo_canal_transaccion IS NOT NULL THEN 'Electronico' END AS channel, CASE WHEN tipo_producto = 'CDT' THEN 'Ahorro' ELSE tipo_producto END AS product, count(*) AS n
     FROM raw_moves GROUP BY 1, 2""",
 )
 def movement_recode(spark: SparkSession, sf_dir: str) -> DataFrame:

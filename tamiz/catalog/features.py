@@ -264,7 +264,8 @@ _ASSOCIATE_FLAGS = ", ".join(
     "client_features",
     f"""{ASSOCIATE_SQL},
     m AS (SELECT normalized_id, strftime(fecha_transaccion, '%Y-%m') AS month_yr, tipo_producto, tipo_transaccion,
-      CASE WHEN tipo_canal_transaccion = 'Físico' THEN 'Fisico' ELSE 'Electronico' END AS canal, monto_transaccion
+      CASE WHEN tipo_canal_transaccion = 'Físico' THEN 'Fisico'
+        WHEN tipo_canal_transaccion IS NOT NULL THEN 'Electronico' END AS canal, monto_transaccion
       FROM silver_moves WHERE monto_transaccion > 0),
     sums AS (SELECT normalized_id, round_even(count(*) / count(DISTINCT month_yr), 0) AS num_transa,
       {", ".join(_sql_sum(n, c, "tipo_transaccion", "monto_transaccion", "count(DISTINCT month_yr)")

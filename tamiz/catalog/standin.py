@@ -207,10 +207,10 @@ def associate_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
             "actividad_economica"
         ),
         F.element_at(sector, seg).alias("sector_economico"),
-        F.when(nation < 5, "Primaria").when(nation < 12, "Tecnologia").when(nation < 20, "Universitario").otherwise(
-            "Maestria"
-        ).alias("nivel_escolaridad"),
-        (nation / 4).cast("int").cast("string").alias("estrato"),
+        F.when(nation < 5, "Primaria").when(nation < 12, "Tecnologia").when(nation == 13, F.lit(None)).when(
+            nation < 20, "Universitario"
+        ).otherwise("Maestria").alias("nivel_escolaridad"),
+        F.when(nation != 17, (nation / 4).cast("int").cast("string")).alias("estrato"),
         balance.alias("salario_actual"),
         F.when(nation != 11, F.lit(7.25)).alias("otros_ingresos"),
         (balance * 0.5).alias("egresos"),
@@ -231,9 +231,9 @@ raw_clients AS (
          CASE WHEN c_nationkey = 2 THEN NULL WHEN c_nationkey < 6 THEN 'Independiente' ELSE 'Asalariado' END
            AS actividad_economica,
          CASE c_mktsegment {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SECTORS.items())} END AS sector_economico,
-         CASE WHEN c_nationkey < 5 THEN 'Primaria' WHEN c_nationkey < 12 THEN 'Tecnologia'
+         CASE WHEN c_nationkey < 5 THEN 'Primaria' WHEN c_nationkey < 12 THEN 'Tecnologia' WHEN c_nationkey = 13 THEN NULL
               WHEN c_nationkey < 20 THEN 'Universitario' ELSE 'Maestria' END AS nivel_escolaridad,
-         CAST(c_nationkey // 4 AS VARCHAR) AS estrato,
+         CASE WHEN c_nationkey <> 17 THEN CAST(c_nationkey // 4 AS VARCHAR) END AS estrato,
          c_acctbal AS salario_actual, CASE WHEN c_nationkey <> 11 THEN 7.25 END AS otros_ingresos,
          c_acctbal * 0.5 AS egresos, c_acctbal + 1000 AS activos, c_acctbal * 0.25 AS pasivos,
          s.semestre AS semestre, 'base_' || s.semestre || '.xlsx' AS source_file
@@ -250,7 +250,9 @@ def associate_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
         shifted(F.col("o_orderdate")).alias("fecha_transaccion"),
         F.when(priority.isin("1-URGENT", "5-LOW"), "Credito").otherwise("Ahorro").alias("tipo_producto"),
         F.when(status == "F", "Ingreso").otherwise("Egreso").alias("tipo_transaccion"),
-        F.when(priority.isin("2-HIGH", "5-LOW"), "Físico").otherwise("Web").alias("tipo_canal_transaccion"),
+        F.when(priority.isin("2-HIGH", "5-LOW"), "Físico").when((status != "P") | (priority != "4-NOT SPECIFIED"), "Web").alias(
+            "tipo_canal_transaccion"
+        ),
         F.when((status == "P") & (priority == "3-MEDIUM"), -F.col("o_totalprice"))
         .otherwise(F.col("o_totalprice"))
         .alias("monto_transaccion"),
@@ -265,7 +267,8 @@ raw_moves AS (
          CAST(CAST(o_orderdate AS DATE) + INTERVAL {YEAR_SHIFT} YEAR AS DATE) AS fecha_transaccion,
          CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'Credito' ELSE 'Ahorro' END AS tipo_producto,
          CASE WHEN o_orderstatus = 'F' THEN 'Ingreso' ELSE 'Egreso' END AS tipo_transaccion,
-         CASE WHEN o_orderpriority IN ('2-HIGH', '5-LOW') THEN 'Físico' ELSE 'Web' END AS tipo_canal_transaccion,
+         CASE WHEN o_orderpriority IN ('2-HIGH', '5-LOW') THEN 'Físico'
+              WHEN o_orderstatus <> 'P' OR o_orderpriority <> '4-NOT SPECIFIED' THEN 'Web' END AS tipo_canal_transaccion,
          CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM' THEN -o_totalprice ELSE o_totalprice END
            AS monto_transaccion,
          '2024-I' AS semestre, '/in/base_2024-I.xlsx' AS source_file

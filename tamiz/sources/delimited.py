@@ -63,15 +63,48 @@ def narrow_files(spark: SparkSession, path: str, least: int, pattern: str | None
     return widths.groupBy("source_file").agg(F.max("w").alias("columns")).where(F.col("columns") < least)
 
 
+def _lines(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    """``value, _path, _start, _width`` of every line that is not blank; a separator inside quotes does not count."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    lines = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path)
+    width = F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), r"\|"))
+    return lines.where(F.trim("value") != "").select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), width.alias("_width")
+    )
+
+
+def file_headers(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``_path, header, columns``: the first line of each file and its number of columns."""
+    first = _lines(spark, path, pattern).where("_start = 0").withColumn("_row", F.monotonically_increasing_id())
+    head = first.groupBy("_path").agg(F.min_by(F.struct("value", "_width"), "_row").alias("h"))
+    return head.select("_path", F.col("h.value").alias("header"), F.col("h._width").alias("columns"))
+
+
+def _judged_clients(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    """Data lines with ``reason``: why a line is left out, judged by its own file's header; null if it stays."""
+    rows = _lines(spark, path, pattern).join(file_headers(spark, path, pattern), "_path").where("value <> header")
+    narrow = F.when(F.col("columns") < len(CLIENT_COLUMNS), "file below twelve columns")
+    return rows.withColumn("reason", F.coalesce(narrow, F.when(F.col("_width") != F.col("columns"), "line of another width")))
+
+
 def read_clients(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Clients with the first twelve columns bound by position; lines of another width are left out."""
-    extra = max(len(header_names(spark, path, pattern)) - len(CLIENT_COLUMNS), 0)
-    columns = CLIENT_COLUMNS + tuple(f"_extra{i}" for i in range(extra))
-    rows = _scan(spark, path, columns, "DROPMALFORMED", pattern)
-    rows = rows.select(*CLIENT_COLUMNS, F.col("_metadata.file_path").alias("_path"))
+    """Clients with the first twelve columns bound by position, each file by its own header.
+
+    Lines of another width than their header and files below twelve columns are left out; ``rejected_clients`` counts them.
+    """
+    schema = ", ".join(f"{c} string" for c in CLIENT_COLUMNS)
+    kept = _judged_clients(spark, path, pattern).where("reason IS NULL")
+    rows = kept.select(F.from_csv("value", schema, {"sep": "|"}).alias("r"), "_path").select("r.*", "_path")
     return with_provenance(rows.withColumns({c: to_double(F.col(c)) for c in CLIENT_NUMBERS}))
 
 
+def rejected_clients(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``source_file, columns, width, reason, lines``: what ``read_clients`` left out, with the header's and the lines' width."""
+    out = _judged_clients(spark, path, pattern).where("reason IS NOT NULL")
+    names = [source_name(F.col("_path")).alias("source_file"), "columns", F.col("_width").alias("width"), "reason"]
+    return out.groupBy(*names).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def read_clients_padded(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """As ``read_clients`` for untidy files: short lines are padded, files below twelve columns left out."""
     rows = _scan(spark, path, CLIENT_COLUMNS, "PERMISSIVE", pattern)

@@ -107,3 +107,20 @@ def test_raw_table_columns_parse(spark):
 def test_header_only_columns_are_text(spark):
     assert set(workbook.CLIENT_TYPES.values()) == {"date", "double"}
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_each_file_by_its_own_header(spark, tmp_path):
+    wide = delimited.CLIENT_COLUMNS + ("extra",)
+    line = lambda n, id_: "|".join(["1", "CC", id_, "10", '"a|b"', "5", "4", "3", "2", "1", "0", "A", "x"][:n])
+    for name, n, columns in (("a_2023.txt", 12, delimited.CLIENT_COLUMNS), ("b_2024.txt", 13, wide), ("c_2024.txt", 5, wide[:5])):
+        body = ["|".join(columns), line(n, name[0]), "", line(n - 1, "short")]
+        (tmp_path / f"Base Clientes {name}").write_text("\n".join(body) + "\n")
+    clients, moves = delimited.read_folder(spark, str(tmp_path))
+    kept = rows(clients.select("source_file", "documento", "ocupacion", "ingresos_mens", "estado"), "source_file")
+    assert kept == [("Base Clientes a_2023.txt", "a", "a|b", 5.0, "A"), ("Base Clientes b_2024.txt", "b", "a|b", 5.0, "A")]
+    assert rows(delimited.rejected_clients(spark, str(tmp_path)), "source_file", "width") == [
+        ("Base Clientes a_2023.txt", 12, 11, "line of another width", 1),
+        ("Base Clientes b_2024.txt", 13, 12, "line of another width", 1),
+        ("Base Clientes c_2024.txt", 5, 4, "file below twelve columns", 1),
+        ("Base Clientes c_2024.txt", 5, 5, "file below twelve columns", 1),
+    ]
