@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamiz.llm import (
-    exact_dedup, langid, mixing, packing, quality_rules, simhash, substring_dedup, token_counts, warc, weak_quality,
+    collocations, exact_dedup, langid, maxscore, mixing, packing, quality_rules, simhash, substring_dedup, token_counts, warc,
+    weak_quality, whitening,
 )
 from tamiz.llm.base import query, read
 
@@ -82,3 +83,63 @@ def op9_warc(spark, sf_dir):
 @query("op10_mixing")
 def op10_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op11_maxscore",
+    """WITH v AS (
+         SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+       scored AS (
+         SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+         FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+       ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
+       SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5""",
+)
+def op11_maxscore(spark, sf_dir):
+    return maxscore.top_products(read(spark, sf_dir, "embeddings"))
+
+
+_PARTS = ", ".join(f"lead(w, {k}) OVER piece AS w{k}" for k in (1, 2, 3))
+_PHRASES = " UNION ALL ".join(
+    f"SELECT lang, {n} AS size, {' || chr(32) || '.join(['w', 'w1', 'w2', 'w3'][:n])} AS phrase FROM g WHERE {['w', 'w1', 'w2', 'w3'][n - 1]} IS NOT NULL"
+    for n in (1, 2, 3, 4)
+)
+
+
+@query(
+    "op12_collocations",
+    f"""WITH t AS (
+         SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+           string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+       p AS (SELECT r, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos FROM t),
+       s AS (SELECT r, lang, pos, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM p),
+       w AS (SELECT r, lang, pos, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM s),
+       g AS (SELECT lang, w, {_PARTS} FROM w WINDOW piece AS (PARTITION BY r, pos ORDER BY i)),
+       f AS (SELECT lang, size, phrase, count(*) AS a FROM ({_PHRASES}) GROUP BY ALL),
+       totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+       c AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND a >= 30),
+       cuts AS (
+         SELECT c.*, k, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * c.a) // (l.a + r.a) AS score
+         FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c) c
+         JOIN f l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(ws[1:k], ' ')
+         JOIN f r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+       least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+       inner_parts AS (
+         SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS a
+         FROM (SELECT *, unnest(generate_series(2, size - 1)) AS m FROM c), generate_series(1, 4) AS o(i)
+         WHERE i + m - 1 <= size GROUP BY ALL),
+       left_over AS (
+         SELECT x.* FROM least x LEFT JOIN inner_parts y ON x.lang = y.lang AND x.phrase = y.phrase
+         WHERE y.a IS NULL OR 100 * y.a < 80 * x.a),
+       ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+       SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+)
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    return whitening.by_component(whitening.whiten(read(spark, sf_dir, "embeddings")))
