@@ -49,7 +49,7 @@ def _alert_columns(groups) -> str:
 )
 def alert_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prof.alert_thresholds(
-        table(spark, sf_dir, "orders"), "o_orderpriority", _PRIORITIES, ["o_totalprice", "o_custkey"]
+        table(spark, sf_dir, "orders", spread=True), "o_orderpriority", _PRIORITIES, ["o_totalprice", "o_custkey"]
     )
     return out.select("variable", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in out.columns if c != "variable"])
 
@@ -62,7 +62,7 @@ def alert_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_thresholds_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds over the largest table: few groups, each a third of all rows."""
     out = prof.alert_thresholds(
-        table(spark, sf_dir, "lineitem"), "l_returnflag", ("A", "N", "R"), ["l_extendedprice"]
+        table(spark, sf_dir, "lineitem", spread=True), "l_returnflag", ("A", "N", "R"), ["l_extendedprice"]
     )
     return out.select("variable", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in out.columns if c != "variable"])
 
@@ -154,7 +154,7 @@ def radar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(quantile_cont(o_totalprice, 0.75), 4) AS q3, max(o_totalprice) AS maximum FROM orders GROUP BY 1""",
 )
 def five_number_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = prof.five_numbers(table(spark, sf_dir, "orders"), "o_orderpriority", ["o_totalprice"])
+    out = prof.five_numbers(table(spark, sf_dir, "orders", spread=True), "o_orderpriority", ["o_totalprice"])
     return out.select(
         "o_orderpriority", "variable", *[F.round(c, 4).alias(c) for c in ("minimum", "q1", "median", "q3", "maximum")]
     )

@@ -127,19 +127,36 @@ def test_type6_quantile_of_four(spark):
 
 
 @pytest.mark.parametrize("kind", [6, 7])
-def test_quantiles_beyond_the_sketch(spark, kind, monkeypatch):
-    """A tiny sketch forces the bracket pass; a third of the rows share one value and one group dominates."""
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 100)
-    monkeypatch.setattr(quantiles, "BRACKET", 0.02 + 0.04)
-    monkeypatch.setattr(quantiles, "WHOLE_GROUP", 200)
+def test_quantiles_of_groups_of_any_size(spark, kind):
+    """A third of the rows share one value, one group dominates, one key is missing, one group has near neighbours."""
     rng = np.random.default_rng(1)
-    data = {"big": np.where(rng.random(6000) < 0.33, 0.0, rng.lognormal(3, 2, 6000)), "small": rng.normal(size=7)}
+    near = 1.0 + np.arange(40) * 2.0**-52  # told apart by the last bits only
+    data = {"big": np.where(rng.random(6000) < 0.33, 0.0, rng.lognormal(3, 2, 6000)), "small": rng.normal(size=7), None: rng.normal(size=9), "near": near}
     df = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g string, v double").repartition(4)
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
     got = {(g, p): v for g, _, p, v in rows(quantiles.grouped_quantiles(df, ["g"], ["v"], probs, kind))}
+    assert len(got) == 20
     for g, vs in data.items():
         for p in probs:
-            assert got[(g, p)] == pytest.approx(r_quantile(vs, p, kind), rel=1e-12, abs=1e-12)
+            assert got[(g, p)] == pytest.approx(r_quantile(vs, p, kind), rel=1e-15 if g == "near" else 1e-12, abs=0 if g == "near" else 1e-12)
+
+
+def test_quantiles_of_infinite_and_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(v,) for v in (-inf, -0.0, 0.0, 5e-324, inf, inf, None, nan)], "v double")
+    got = quantiles.quantile_columns(df, [], ["v"], {0.0: "a", 0.5: "m", 5 / 6: "b", 1.0: "z"}).first()
+    assert (got["a"], got["m"], got["b"]) == (-inf, 5e-324, inf) and np.isnan(got["z"])
+    assert quantiles.quantile_columns(df.limit(0), [], ["v"], {0.5: "m"}).count() == 0
+
+
+def test_ordered_bits_equal_the_stored_form(spark):
+    rng = np.random.default_rng(0)
+    x = [0.0, 5e-324, 2.0**-1022, 1.7976931348623157e308, float("inf"), *(2.0 ** np.arange(-1074, 1024, dtype=float))]
+    x += [float(np.nextafter(v, d)) for v in x[5:] for d in (0, 1e308)] + rng.lognormal(0, 50, 2000).tolist()
+    x += [-v for v in x]
+    got = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", quantiles.ordered_bits(F.col("x")).alias("b")).collect()
+    want = np.abs(np.array([r["x"] for r in got])).view(np.int64)
+    assert [r["b"] for r in got] == [-w if r["x"] < 0 else w for r, w in zip(got, want.tolist())]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
