@@ -8,7 +8,7 @@ from tamiz.catalog.areas import _rates
 from tamiz.catalog.base import query, table
 from tamiz.catalog.cleaning import ASSOCIATE_SQL, associate_silver
 from tamiz.catalog.features import SCALE, population_features
-from tamiz.operators import cluster, reduce, transform, validate
+from tamiz.operators import balls, cluster, reduce, transform, validate
 from tamiz.operators.route import LEGAL, LOW_AMOUNT, NATURAL
 from tamiz.plans import associates, segmentation
 from tamiz.session import cut_lineage
@@ -29,9 +29,12 @@ widths AS (SELECT i, li, CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a,
 """
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, str, str]:
+    return table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"
+
+
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return validate.point_profile(validate.label_cells(vectors, "vec_id", "embedding", "label"))
+    return validate.point_profile(validate.centre_table(*_labelled(spark, sf_dir)))
 
 
 @query(
@@ -52,7 +55,18 @@ def distance_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM pairs) WHERE r <= 10""",
 )
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profile(spark, sf_dir).agg(F.round(F.sum("penalty"), 4).alias("connectivity"))
+    """Over all rows, by an exact nearest-neighbour join."""
+    return balls.connectivity(*_labelled(spark, sf_dir)).select(F.round("connectivity", 4).alias("connectivity"))
+
+
+@query(
+    "nearest_rows",
+    f"""{PAIRS_SQL} SELECT i AS id, li AS label, CAST(r AS INTEGER) AS rank, j AS other, lj AS other_label, round(d, 6) AS d FROM (
+      SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM pairs) WHERE r <= 10""",
+)
+def nearest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every row."""
+    return balls.nearest_rows(*_labelled(spark, sf_dir)).withColumn("d", F.round("d", 6))
 
 
 @query(
@@ -61,7 +75,18 @@ def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pairs""",
 )
 def dunn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.internal_indices(_profile(spark, sf_dir)).select(F.round("dunn", 6).alias("dunn"))
+    """Over all rows, by bounds on pairs of balls."""
+    return balls.dunn(*_labelled(spark, sf_dir)).select(F.round("dunn", 6).alias("dunn"))
+
+
+@query(
+    "extreme_distances",
+    f"""{PAIRS_SQL} SELECT round(min(CASE WHEN li <> lj THEN d END), 6) AS gap, round(max(CASE WHEN li = lj THEN d END), 6) AS diameter
+    FROM pairs""",
+)
+def extreme_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least distance between labels and greatest within one."""
+    return balls.dunn(*_labelled(spark, sf_dir)).select(F.round("gap", 6).alias("gap"), F.round("diameter", 6).alias("diameter"))
 
 
 @query("silhouette", f"{_WIDTHS_SQL} SELECT round(avg(w), 6) AS silhouette FROM widths")
@@ -74,7 +99,29 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_WIDTHS_SQL} SELECT li AS label, count(*) AS size, round(avg(w), 6) AS width FROM widths GROUP BY 1",
 )
 def silhouette_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = validate.silhouette_by_cluster(_profile(spark, sf_dir))
+    out = validate.silhouette_by_cluster(validate.silhouette_points(_profile(spark, sf_dir)))
+    return out.select("label", "size", F.round("width", 6).alias("width"))
+
+
+_SQUARED_SQL = _WIDTHS_SQL.replace("avg(d) AS m", "avg(d * d) AS m")
+
+
+@query(
+    "silhouette_squared",
+    f"""{_SQUARED_SQL}, near AS (SELECT i, arg_min(lj, m) AS neighbour FROM means WHERE li <> lj GROUP BY 1)
+    SELECT w.i AS id, li AS label, neighbour, round(w, 6) AS width FROM widths w LEFT JOIN near n ON w.i = n.i""",
+)
+def silhouette_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width of every row with squared distances, from one aggregate per cluster."""
+    return validate.silhouette_squared(*_labelled(spark, sf_dir)).withColumn("width", F.round("width", 6))
+
+
+@query(
+    "silhouette_squared_by_cluster",
+    f"{_SQUARED_SQL} SELECT li AS label, count(*) AS size, round(avg(w), 6) AS width FROM widths GROUP BY 1",
+)
+def silhouette_squared_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = validate.silhouette_by_cluster(validate.silhouette_squared(*_labelled(spark, sf_dir)))
     return out.select("label", "size", F.round("width", 6).alias("width"))
 
 
@@ -83,7 +130,7 @@ _CONFIGS = (("given", 10, 10), ("odd", 2, 2), ("thirds", 3, 3))
 
 
 def _configurations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cells = cut_lineage(validate.label_cells(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"))
+    cells = cut_lineage(validate.centre_table(*_labelled(spark, sf_dir)))
     options = F.array(
         *[
             F.struct(F.lit(m).alias("method"), F.lit(k).alias("k"), (F.col("label") % mod + 1).alias("cluster"))

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tamiz.operators import kernels
 from tamiz.operators.profile import min_max
@@ -22,26 +22,50 @@ METHODS = ("hierarchical", "kmeans", "pam", "clara")
 K_RANGE = (2, 3, 4, 5, 6)
 
 
-def label_cells(points: DataFrame, id_col: str, vec_col: str, label_col: str, max_items: int = MAX_ITEMS, seed: int = 444) -> DataFrame:
-    """The labelled rows themselves when they are few, else the means of their k-means cells within each label.
+def centre_table(points: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """``id, vec, label`` of a table declared to be small, as the functions for bounded sets take it.
 
-    Compression runs over all rows; a cell belongs to one label, so labels stay exact.
+    They refuse more than ``max_items`` rows. For tables of any size there are ``balls.connectivity``, ``balls.dunn`` and
+    ``silhouette_squared``.
     """
-    from tamiz.operators.cluster import micro_cluster
-
-    plain = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
-    if len(plain.select("id").take(max_items + 1)) <= max_items:
-        return plain
-    n_labels = len(plain.select("label").distinct().take(max_items + 1))
-    k = max(max_items // max(n_labels, 1), 1)
-    _, assigned = micro_cluster(plain, "id", k=k, starts=1, seed=seed, vec_col="vec")
-    dim = len(plain.select("vec").first()[0])
-    cells = (
-        plain.join(assigned, "id")
-        .groupBy("center_id", "label")
-        .agg(F.min("id").alias("id"), F.array(*[F.avg(F.col("vec")[i]) for i in range(dim)]).alias("vec"))
+    return points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
+
+
+def silhouette_squared(points: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """``id, label, neighbour, width`` of every row of a table of any size, with squared Euclidean distances.
+
+    The mean squared distance of a row to a cluster follows from the cluster's count, vector sum and sum of squares, so
+    two passes with map-side sums and one small row per cluster are enough. Vectors are centred first, which keeps the
+    squares small. A row alone in its cluster, or without another cluster, has width 0; rows without vector or label are
+    left out.
+    """
+    rows = centre_table(points, id_col, vec_col, label_col).where(F.col("vec").isNotNull() & F.col("label").isNotNull())
+    at_mean = rows.select(F.posexplode("vec").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m"))
+    mean = at_mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda s: s["m"]).alias("mean"))
+    moved = rows.withColumn("mean", mean.scalar()).select("id", "label", F.zip_with("vec", "mean", lambda x, m: x - m).alias("vec"))
+    sums = moved.select("label", F.posexplode("vec").alias("at", "x")).groupBy("label", "at").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")
+    )
+    parts = F.array_sort(F.collect_list(F.struct("at", "s")))
+    clusters = sums.groupBy("label").agg(F.max("n").alias("n"), F.transform(parts, lambda p: p["s"]).alias("s"), F.sum("q").alias("q"))
+    listed = clusters.agg(F.array_sort(F.collect_list(F.struct("label", "n", "s", "q"))).alias("clusters"))
+
+    own_square = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x * x)
+    near = moved.select("id", "label", "vec", own_square.alias("square"), listed.scalar().alias("clusters"))
+
+    def mean_square(c: Column, n: Column) -> Column:
+        dot = F.aggregate(F.zip_with("vec", c["s"], lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
+        return F.greatest((c["n"] * F.col("square") - 2 * dot + c["q"]) / n, F.lit(0.0))
+
+    own = F.filter("clusters", lambda c: c["label"] == F.col("label"))[0]
+    others = F.filter("clusters", lambda c: c["label"] != F.col("label"))
+    away = F.array_min(F.transform(others, lambda c: F.struct(mean_square(c, c["n"]).alias("b"), c["label"].alias("label"))))
+    found = near.select(
+        "id", "label", F.when(own["n"] > 1, mean_square(own, F.nullif(own["n"] - 1, F.lit(0)))).alias("a"), away.alias("other")
     )
-    return cells.select("id", "vec", "label")
+    a, b = F.col("a"), F.col("other.b")
+    width = F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))
+    return found.select("id", "label", F.col("other.label").alias("neighbour"), F.when(a.isNull() | b.isNull(), 0.0).otherwise(width).alias("width"))
 
 
 def point_profile(points: DataFrame, max_items: int = MAX_ITEMS, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -121,8 +145,9 @@ def silhouette_points(profile: DataFrame) -> DataFrame:
     return per_point.select("id", F.col("own").alias("label"), F.col("other.label").alias("neighbour"), width.alias("width"))
 
 
-def silhouette_by_cluster(profile: DataFrame) -> DataFrame:
-    return silhouette_points(profile).groupBy("label").agg(
+def silhouette_by_cluster(points: DataFrame) -> DataFrame:
+    """``label, size, width`` from the widths of the points."""
+    return points.groupBy("label").agg(
         F.count(F.lit(1)).alias("size"), F.avg("width").alias("width")
     )
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamiz.operators import cluster, kernels, reduce, transform, validate
+from tamiz.operators import balls, cluster, kernels, reduce, transform, validate
 from tests.conftest import rows
 
 
@@ -123,12 +123,35 @@ def test_indices_match_brute_force(spark):
     assert (grid["connectivity"], grid["dunn"], grid["silhouette"]) == pytest.approx((con, dunn, np.mean(widths)))
 
 
-def test_large_labelled_tables_are_compressed_within_labels(spark):
+def test_row_scale_indices_agree_with_the_bounded_ones(spark):
     x = blobs(120, seed=9)
     df = points_of(spark, x).withColumn("label", (F.col("id") % 2).cast("int"))
-    cells = validate.label_cells(df, "id", "vec", "label", max_items=40)
-    assert cells.count() <= 40
-    assert cells.select("label").distinct().count() == 2
+    bounded = validate.internal_indices(validate.point_profile(df)).first()
+    for rows_a_cell in (8, 1000):
+        assert balls.connectivity(df, "id", "vec", "label", cell_rows=rows_a_cell).first()[0] == pytest.approx(bounded["connectivity"])
+        assert balls.dunn(df, "id", "vec", "label", cell_rows=rows_a_cell).first()["dunn"] == pytest.approx(bounded["dunn"])
+    with pytest.raises(ValueError):
+        validate.point_profile(df, max_items=40)
+
+
+def test_squared_silhouette_matches_brute_force(spark):
+    x = blobs(45, seed=7) + 1e6
+    lab = np.arange(45) % 3 + 1
+    lab[0] = 9  # a cluster of one
+    d = kernels.distances(x, x) ** 2
+    want = []
+    for i in range(45):
+        own = (lab == lab[i]) & (np.arange(45) != i)
+        means = {v: d[i][lab == v].mean() for v in set(lab.tolist()) if v != lab[i]}
+        other = min(means, key=lambda v: (means[v], v))
+        a = d[i][own].mean() if own.any() else None
+        want.append((i, lab[i], other, 0.0 if a is None else (means[other] - a) / max(a, means[other])))
+    df = spark.createDataFrame([(i, r.tolist(), int(v)) for i, (r, v) in enumerate(zip(x, lab))], "id bigint, vec array<double>, label int")
+    got = rows(validate.silhouette_squared(df.unionByName(df.limit(1).withColumn("label", F.lit(None).cast("int"))), "id", "vec", "label"), "id")
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+    alone = rows(validate.silhouette_squared(df.where("label = 1"), "id", "vec", "label"))
+    assert {g[2:] for g in alone} == {(None, 0.0)}
 
 
 def test_bootstrap_is_stable_for_clear_groups(spark):
