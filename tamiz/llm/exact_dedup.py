@@ -107,6 +107,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = exact_groups(docs, id_col, text_col).filter("kept").select(*id_keys(id_col), F.col("text_sha256").alias("_sha"))
     rows = docs.select(F.struct("*").alias("_doc"), *id_keys(id_col), F.sha2(normal_bytes(text_col), 256).alias("_sha"))
     keys = ["_id", "_no_id", "_sha"]
-    once = Window.partitionBy(*keys).orderBy(F.lit(1))
+    once = Window.partitionBy(*keys).orderBy(F.xxhash64("_doc"))
     stay = rows.join(kept, keys, "left_semi").withColumn("_nth", F.row_number().over(once))
     return stay.filter("_nth = 1").select("_doc.*")

@@ -138,14 +138,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         block = _Block()
-        for batch in batches:
-            for id_, text in zip(batch.column(0), batch.column(1)):
-                block.add(id_.as_py(), *tokens_and_ends(text.as_py(), vocabulary))
-                if block.size >= BLOCK_TOKENS:
-                    yield flush(block)
-                    block = _Block()
-        if block.docs:
-            yield flush(block)
+        try:
+            for batch in batches:
+                for id_, text in zip(batch.column(0), batch.column(1)):
+                    block.add(id_.as_py(), *tokens_and_ends(text.as_py(), vocabulary))
+                    if block.size >= BLOCK_TOKENS:
+                        yield flush(block)
+                        block = _Block()
+            if block.docs:
+                yield flush(block)
+        finally:
+            vocabulary.forget()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = source.mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -112,14 +112,19 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS
     return _links(prints, blocks, max_bits, crowd, Stages(prints.sparkSession)).distinct()
 
 
+def _components_of_prints(prints: DataFrame, max_bits: int, crowd: int) -> DataFrame:
+    """``fp, root`` of distinct fingerprints."""
+    roots = components(near_links(prints.select("fp"), max_bits, BLOCKS, crowd))
+    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
                     max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
     """One row per input row: id, fp (signed long), component_id (smallest id that links reach)."""
     stages = Stages(docs.sparkSession)
     rows = stages.keep(docs.select(F.col(id_col).alias("id"), fingerprint_column(words)(text_col).alias("fp")))
     prints = stages.keep(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(near_links(prints.select("fp"), max_bits, BLOCKS, crowd))
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _components_of_prints(prints, max_bits, crowd)
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     per_print = stages.keep(rooted.join(lows, "root").select("fp", "component_id"))
     return rows.join(per_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -127,11 +132,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
                      max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; of repeated ids one row stays."""
-    found = near_components(docs, id_col, text_col, words, max_bits)
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(*id_keys(id_col)).distinct()
-    keys = ["_id", "_no_id"]
-    once = Window.partitionBy(*keys).orderBy(F.lit(1))
-    rows = docs.select(F.struct("*").alias("_doc"), *id_keys(id_col))
-    left = rows.join(stay, keys, "left_semi").withColumn("_nth", F.row_number().over(once))
-    return left.filter("_nth = 1").select("_doc.*")
+    """One row of ``docs`` per component, with all its columns.
+
+    It is the row with the smallest id (a null id comes last), then with the smallest hash of its text. Rows with equal
+    id and text differ in other columns at most; the smallest hash of the whole row decides. Unrelated rows with null or
+    repeated ids all stay, since components are found by fingerprint and not by id.
+    """
+    stages = Stages(docs.sparkSession)
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(*id_keys(id_col)[::-1], F.xxhash64(body).alias("_hash"), F.hash(body).alias("_more"))
+    rows = stages.keep(docs.select(key.alias("key"), fingerprint_column(words)(text_col).alias("fp")))
+    prints = stages.keep(rows.groupBy("fp").agg(F.min("key").alias("key")))
+    stay = stages.keep(_components_of_prints(prints, max_bits, CROWD).groupBy("root").agg(F.min("key").alias("_key")).select("_key"))
+    once = Window.partitionBy("_key").orderBy(F.xxhash64("_doc"))
+    left = docs.select(F.struct("*").alias("_doc"), key.alias("_key")).join(stay, "_key", "left_semi")
+    return left.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select("_doc.*")

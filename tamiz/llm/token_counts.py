@@ -50,17 +50,20 @@ def token_prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = for_worker(path)
-        for batch in batches:
-            rows, held = [], 0
-            for id_, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                rows.append((id_.as_py(), len((text or "").encode("utf-8", "surrogatepass")), *prefix_table(text, vocabulary)))
-                held += rows[-1][1]
-                if held > SUB_BYTES:
+        try:
+            for batch in batches:
+                rows, held = [], 0
+                for id_, text in zip(batch.column(0), batch.column(1)):
+                    text = text.as_py()
+                    rows.append((id_.as_py(), len((text or "").encode("utf-8", "surrogatepass")), *prefix_table(text, vocabulary)))
+                    held += rows[-1][1]
+                    if held > SUB_BYTES:
+                        yield _batch(rows, schema)
+                        rows, held = [], 0
+                if rows:
                     yield _batch(rows, schema)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows, schema)
+        finally:
+            vocabulary.forget()
 
     return source.mapInArrow(run, "id long, n_bytes long, prefix_bytes array<long>, prefix_tokens array<long>").withColumnRenamed("id", id_col)
 

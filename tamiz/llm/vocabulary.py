@@ -2,8 +2,12 @@
 
 No token of the vocabulary spans ASCII white space, and its normalisation never looks across it, so the ids of a text are
 the ids of its chunks in order. A chunk's closing punctuation behind a letter or digit is a piece of its own for the
-vocabulary, and ASCII letters lose their case, so ``Word,`` is looked up as ``word`` and ``,``. Each distinct piece goes
-to the library once per worker; the memo holds at most ``LIMIT`` chunks of at most ``LONGEST`` bytes.
+vocabulary, and ASCII letters lose their case, so ``Word,`` is looked up as ``word`` and ``,``. A chunk is split like
+this only behind an ASCII letter or digit or a plain Latin letter: other characters may turn into a letter and a mark,
+which the vocabulary keeps with the punctuation, so those chunks go to the library whole.
+
+The memo of a worker is emptied when its task ends. It has two generations of ``GENERATION`` short entries: when the
+younger one is full, what was not asked for since the last time goes.
 """
 
 from __future__ import annotations
@@ -14,8 +18,8 @@ import types
 
 import numpy as np
 
-LIMIT = 1_000_000
-LONGEST = 128
+GENERATION = 1 << 19  # entries of one generation of a memo
+LONGEST = 64  # bytes of a key; with its ids and its place in the table an entry takes 0.5 kB at most, 0.2 kB usually
 CLOSING = b".,;:!?$%&*#"
 
 
@@ -37,6 +41,35 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
+class Memo:
+    """Two generations of one table, ``size`` entries each; an entry that is asked for moves to the younger one."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def find(self, keys: list[bytes]) -> list[bytes | None]:
+        found = list(map(self.young.get, keys))
+        if self.old and None in found:
+            gone = [i for i, value in enumerate(found) if value is None]
+            again = {}
+            for i in gone:
+                value = self.old.get(keys[i])
+                if value is not None:
+                    found[i] = again[keys[i]] = value
+            self.add(again)
+        return found
+
+    def add(self, entries: dict[bytes, bytes]) -> None:
+        self.young.update(entries)
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class Vocabulary:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,39 +78,46 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.chunks = Memo(GENERATION)
+        self.pieces = Memo(GENERATION)
+
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.pieces.clear()
 
     def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
         """Packed little-endian uint32 ids of each chunk."""
-        memo = self.chunks
-        if len(memo) > LIMIT:
-            memo.clear()
-            self.pieces.clear()
-        ids = list(map(memo.get, chunks))
+        ids = self.chunks.find(chunks)
         if None not in ids:
             return ids
         found = self._encode(list({c for c, i in zip(chunks, ids) if i is None}))
-        memo.update((c, i) for c, i in found.items() if len(c) <= LONGEST)
+        self.chunks.add({c: i for c, i in found.items() if len(c) <= LONGEST})
         return [found[c] if i is None else i for c, i in zip(chunks, ids)]
 
     def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         split = [_core_and_closing(c) for c in chunks]
-        pieces = {p: self.pieces[p] for pair in split for p in pair if p in self.pieces}
-        new = [p for p in {p for pair in split for p in pair} if p not in pieces]
+        wanted = list({p for pair in split for p in pair})
+        pieces = dict(zip(wanted, self.pieces.find(wanted)))
+        new = [p for p, ids in pieces.items() if ids is None]
         plain = [p for p in new if p.isalpha()]  # ASCII letters only: one pre-token, nothing to normalise
         model = self.tokenizer.model
-        pieces |= {p: _packed([t.id for t in model.tokenize(p.decode())]) for p in plain}
+        fresh = {p: _packed([t.id for t in model.tokenize(p.decode())]) for p in plain}
         other = [p for p in new if not p.isalpha()]
         coded = self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
-        pieces |= {p: _packed(e.ids) for p, e in zip(other, coded)}
-        self.pieces.update((p, pieces[p]) for p in new if len(p) <= LONGEST)
+        fresh |= {p: _packed(e.ids) for p, e in zip(other, coded)}
+        self.pieces.add({p: i for p, i in fresh.items() if len(p) <= LONGEST})
+        pieces |= fresh
         return {c: pieces[core] + pieces[closing] for c, (core, closing) in zip(chunks, split)}
 
 
+def _plain_letter(end: str) -> bool:
+    """A character whose normal form is one letter or digit and that nothing before it joins."""
+    return end.isalnum() and (end.isascii() or ("\u00c0" <= end <= "\u024f" and end != "\u0130"))
+
+
 def _core_and_closing(chunk: bytes) -> tuple[bytes, bytes]:
     core = chunk.rstrip(CLOSING)
-    if len(core) < len(chunk) and not (core and core[-4:].decode("utf-8", "replace")[-1:].isalnum()):
+    if len(core) < len(chunk) and not (core and _plain_letter(core[-4:].decode("utf-8", "replace")[-1:])):
         core = chunk
     closing = chunk[len(core) :]
     return (core.lower() if core.isascii() and b"<" not in core else core), closing
