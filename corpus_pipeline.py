@@ -1,7 +1,11 @@
 """Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``documents``.
+stage's docs. All but the last return the columns of ``documents``, further columns of any name included.
+
+Defined cases: a null text is an empty one and falls at the quality rules, like any text below their word count. Null and
+repeated ids pass; copies and near copies are told by their texts, and the row with the smallest id of a group stays (null
+last). Texts of any length go through whole. An empty table, or one of which nothing is left, gives no rows.
 """
 
 from __future__ import annotations
