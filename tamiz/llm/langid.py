@@ -182,10 +182,12 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int
     """A network fitted to at most ``rows`` of the rows that are not held out."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("out"))
     known = known.filter("lang IS NOT NULL AND text IS NOT NULL AND NOT out")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language that is learned
+    if not counts:
+        return None
     unit = (F.xxhash64("id", F.lit(SEED)).bitwiseAND((1 << 40) - 1)) / (1 << 40)
-    languages = max(1, counts.count())
-    share = known.join(counts, "lang").filter(unit < F.lit(rows / languages) / F.col("n"))
+    wanted = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], rows / len(counts) / r["n"])])
+    share = known.filter(unit < F.element_at(wanted, F.col("lang")))
     found = share.select("lang", "id", _training_windows("text").alias("w"), unit.alias("unit")).orderBy("unit", "id").limit(rows)
     sample = sorted(((r["unit"], r["lang"], w) for r in found.collect() for w in r["w"]), key=lambda s: s[:2])
     if not sample:
