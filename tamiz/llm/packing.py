@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ LENGTH = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
 SENTENCE_COST, TOKEN_COST = 4, 16
-SENTENCE_ENDS = (b".", b"!", b"?")
+SENTENCE_ENDS = tuple(b".!?")
 
 
 def cuts_of(ends: list[int], costs: list[int], length: int = LENGTH) -> list[int]:
@@ -82,10 +83,10 @@ def cuts_of(ends: list[int], costs: list[int], length: int = LENGTH) -> list[int
 
 def tokens_and_ends(text: str | None, vocabulary: Vocabulary) -> tuple[bytes, np.ndarray]:
     """Packed ids of the text and the end token; token counts at the ends of its sentences."""
-    chunks = (text or "").encode("utf-8", "surrogatepass").split()
-    ids = vocabulary.chunk_ids(chunks)
+    pieces = vocabulary.split((text or "").encode("utf-8", "surrogatepass"))
+    ids = vocabulary.piece_ids(pieces)
     counts = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 2)
-    stops = np.fromiter((c.endswith(SENTENCE_ENDS) for c in chunks), dtype=bool, count=len(chunks))
+    stops = np.isin(np.fromiter(map(itemgetter(-1), pieces), dtype=np.uint8, count=len(pieces)), SENTENCE_ENDS)
     return b"".join(ids) + END_ID.to_bytes(4, "little"), counts[stops]
 
 

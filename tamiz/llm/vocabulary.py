@@ -13,6 +13,7 @@ younger one is full, what was not asked for since the last time goes.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 
@@ -21,6 +22,11 @@ import numpy as np
 GENERATION = 1 << 19  # entries of one generation of a memo
 LONGEST = 64  # bytes of a key; with its ids and its place in the table an entry takes 0.5 kB at most, 0.2 kB usually
 CLOSING = b".,;:!?$%&*#"
+# Closing punctuation at the end of a chunk, behind an ASCII letter or digit or a Latin-1 letter (in UTF-8). It starts
+# with a character class, not with what has to stand before it, so that the search skips over other bytes.
+BEFORE_CLOSING = re.compile(
+    rb"[.,;:!?$%&*#](?:(?<=[0-9A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?$%&*#]*(?=[\x20\x09-\x0D]|\Z)"
+)
 
 
 def default_path() -> str:
@@ -97,17 +103,31 @@ class Vocabulary:
     def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         split = [_core_and_closing(c) for c in chunks]
         wanted = list({p for pair in split for p in pair})
-        pieces = dict(zip(wanted, self.pieces.find(wanted)))
-        new = [p for p, ids in pieces.items() if ids is None]
+        pieces = dict(zip(wanted, self.piece_ids(wanted)))
+        return {c: pieces[core] + pieces[closing] for c, (core, closing) in zip(chunks, split)}
+
+    @staticmethod
+    def split(raw: bytes) -> list[bytes]:
+        """The pieces of a text, in order: its chunks, closing punctuation on its own."""
+        spaced = BEFORE_CLOSING.sub(rb" \g<0>", raw)
+        if b"<" in raw:  # may be one of the vocabulary's own marks, which are told by case
+            return [p if b"<" in p else p.lower() for p in spaced.split()]
+        return spaced.lower().split()
+
+    def piece_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed little-endian uint32 ids of each piece."""
+        ids = self.pieces.find(pieces)
+        if None not in ids:
+            return ids
+        new = list({p for p, i in zip(pieces, ids) if i is None})
         plain = [p for p in new if p.isalpha()]  # ASCII letters only: one pre-token, nothing to normalise
-        model = self.tokenizer.model
-        fresh = {p: _packed([t.id for t in model.tokenize(p.decode())]) for p in plain}
         other = [p for p in new if not p.isalpha()]
+        tokenize = self.tokenizer.model.tokenize
+        found = {p: _packed([t.id for t in tokenize(p.decode())]) for p in plain}
         coded = self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
-        fresh |= {p: _packed(e.ids) for p, e in zip(other, coded)}
-        self.pieces.add({p: i for p, i in fresh.items() if len(p) <= LONGEST})
-        pieces |= fresh
-        return {c: pieces[core] + pieces[closing] for c, (core, closing) in zip(chunks, split)}
+        found |= {p: _packed(e.ids) for p, e in zip(other, coded)}
+        self.pieces.add({p: i for p, i in found.items() if len(p) <= LONGEST})
+        return [found[p] if i is None else i for p, i in zip(pieces, ids)]
 
 
 def _plain_letter(end: str) -> bool:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
 from tamiz.llm import simhash, vocabulary
@@ -19,6 +20,16 @@ def test_ids_of_every_code_point_equal_the_library(points, form):
         got = words.chunk_ids([t.encode() for t in texts])
         want = words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         assert [t for t, g, w in zip(texts, got, want) if np.frombuffer(g, "<u4").tolist() != w.ids] == []
+        split = [b"".join(words.piece_ids(words.split(t.encode()))) for t in texts]
+        assert [t for t, g, w in zip(texts, split, want) if np.frombuffer(g, "<u4").tolist() != w.ids] == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aZé ÉÑı\u0130\u0301\u0307\n\t.,!?$#<>s/|x09\u0958\u3042\u00d7\u00f7 ­"), max_size=40))
+def test_pieces_of_a_text_equal_the_library(text):
+    words = vocabulary.for_worker(vocabulary.default_path())
+    got = np.frombuffer(b"".join(words.piece_ids(words.split(text.encode()))), "<u4").tolist()
+    assert got == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_memo_rotates_and_is_emptied(monkeypatch):
