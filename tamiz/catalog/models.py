@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tamiz.catalog.areas import _rates
 from tamiz.catalog.base import query, table
@@ -13,8 +14,8 @@ from tamiz.operators.route import LEGAL, LOW_AMOUNT, NATURAL
 from tamiz.plans import associates, segmentation
 from tamiz.session import cut_lineage
 
-# Compression used by these queries; the defaults of the library are 3000 centres and 25 starts.
-MICRO_K, STARTS = 200, 2
+# The bootstrap query fits every method 2,000 times, so it starts from fewer centres than the library's 3,000.
+BOOTSTRAP_K, BOOTSTRAP_STARTS = 200, 2
 
 # All pairs of the labelled vectors, for the SQL side only.
 PAIRS_SQL = """WITH pairs AS (
@@ -430,10 +431,8 @@ def _associate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.reduce_features(features, "num_identificacion", segmentation.MODELS["associates"]).scores
 
 
-def _micro(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return cluster.micro_cluster(
-        _associate_scores(spark, sf_dir), "num_identificacion", k=MICRO_K, starts=STARTS
-    )
+def _micro(spark: SparkSession, sf_dir: str, **sizes: int) -> tuple[DataFrame, DataFrame]:
+    return cluster.micro_cluster(_associate_scores(spark, sf_dir), "num_identificacion", **sizes)
 
 
 @query("micro_cluster")
@@ -448,6 +447,42 @@ def kmeans_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.kmeans(_associate_scores(spark, sf_dir), "num_identificacion", "scores", 5)
 
 
+@query(
+    "kmeans_conditions",
+    "SELECT count(*) AS n, CAST(8 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced FROM orders",
+)
+def kmeans_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means of every order by price and customer: no row may be nearer to the mean of another cluster."""
+    orders = table(spark, sf_dir, "orders", spread=True)
+    most = orders.agg(F.max("o_custkey")).first()[0]
+    vec = F.array(F.col("o_totalprice") / 1e5, F.col("o_custkey") * (5.0 / most))
+    points = orders.select("o_orderkey", vec.alias("vec"))
+    labelled = points.join(cluster.kmeans(points, "o_orderkey", "vec", 8, starts=3), "o_orderkey")
+    means = labelled.groupBy("cluster").agg(F.array(F.avg(F.col("vec")[0]), F.avg(F.col("vec")[1])).alias("mean"))
+    listed = means.agg(F.map_from_entries(F.collect_list(F.struct("cluster", "mean"))).alias("means"))
+
+    def squared(m: Column) -> Column:
+        return F.pow(F.col("vec")[0] - m[0], F.lit(2)) + F.pow(F.col("vec")[1] - m[1], F.lit(2))
+
+    tried = labelled.withColumn("means", listed.scalar())
+    least = F.array_min(F.transform(F.map_values("means"), squared))
+    far = squared(F.element_at("means", F.col("cluster"))) > least + 1e-6
+    return tried.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("clusters"), F.count_if(far).alias("misplaced"))
+
+
+@query(
+    "nearest_centres",
+    """SELECT vec_id, CAST(arg_min(c, (d, c)) + 1 AS INTEGER) AS cluster, round(min(d), 6) AS distance FROM (
+      SELECT a.vec_id, b.vec_id AS c, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
+      FROM embeddings a, embeddings b WHERE b.vec_id < 6) GROUP BY 1""",
+)
+def nearest_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector assigned to the nearest of six given ones, row by row."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    centres = np.array([r["v"] for r in vectors.where("vec_id < 6").orderBy("vec_id").collect()])
+    return cluster.assign_nearest(vectors, "vec_id", "v", centres).withColumn("distance", F.round("distance", 6))
+
+
 @query("ward_segments")
 def ward_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ward on up to 4000 centres of the labelled vectors' table."""
@@ -478,7 +513,7 @@ def clara_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments_conserve_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every associate ends in exactly one of five segments."""
     features = associates.feature_table(*associate_silver(spark, sf_dir), scale=SCALE)
-    segmented = segmentation.segment(features, "num_identificacion", segmentation.MODELS["associates"], MICRO_K, STARTS)
+    segmented = segmentation.segment(features, "num_identificacion", segmentation.MODELS["associates"])
     return segmented.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("num_identificacion").alias("ids"),
@@ -494,7 +529,7 @@ def department_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _segmented(spark: SparkSession, sf_dir: str, population: str) -> DataFrame:
     features = population_features(spark, sf_dir, population)
-    return segmentation.segment(features, "num_ident", segmentation.MODELS[population], MICRO_K, STARTS)
+    return segmentation.segment(features, "num_ident", segmentation.MODELS[population])
 
 
 @query("segments_natural")
@@ -529,5 +564,5 @@ def segment_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bootstrap_stability")
 def bootstrap_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All methods, two to six clusters, 100 resamples each, on the centres of the associates."""
-    centres, _ = _micro(spark, sf_dir)
+    centres, _ = _micro(spark, sf_dir, k=BOOTSTRAP_K, starts=BOOTSTRAP_STARTS)
     return segmentation.compare_methods(cut_lineage(centres))

@@ -12,12 +12,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from tamiz.operators import kernels
+from tamiz.operators import kernels, lloyd
 from tamiz.session import bounded_matrix, cut_lineage
 
 MAX_ITEMS = 4000  # largest table for pairwise work
@@ -38,32 +36,22 @@ def micro_cluster(
 
     Returns ``(center_id, center, size)`` and ``(id, center_id)``.
     """
-    spark = scores.sparkSession
-    stored = cut_lineage(scores.select(id_col, F.col(vec_col).alias("center")))
-    if stored.count() <= k:  # every row is its own centre
-        number = F.row_number().over(Window.orderBy(id_col)).cast("int") - 1
-        numbered = cut_lineage(stored.withColumn("center_id", number))
-        centres = numbered.select("center_id", "center", F.lit(1).cast("bigint").alias("size"))
-        return centres, numbered.select(id_col, "center_id")
-    vectors = stored.select(id_col, array_to_vector("center").alias("features"))
-    best = None
-    for start in range(starts):
-        model = KMeans(k=k, maxIter=max_iter, seed=seed + start).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    assigned = best.transform(vectors).select(id_col, F.col("prediction").cast("int").alias("center_id"))
-    assigned = cut_lineage(assigned)
+    grid = lloyd.on_grid(scores, id_col, vec_col)
+    found = lloyd.fit(grid, k, starts, seed, max_iter)
+    placed = cut_lineage(lloyd.assign(grid, found, scores.schema[id_col].dataType.simpleString()))
+    assigned = placed.select(F.col("id").alias(id_col), F.col("centre").alias("center_id"))
     sizes = assigned.groupBy("center_id").agg(F.count(F.lit(1)).alias("size"))
-    centre_rows = [(i, [float(v) for v in c]) for i, c in enumerate(best.clusterCenters())]
-    centres = spark.createDataFrame(centre_rows, "center_id int, center array<double>")
+    centre_rows = [(i, [float(v) for v in c]) for i, c in enumerate(found)]
+    centres = scores.sparkSession.createDataFrame(centre_rows, "center_id int, center array<double>")
     return centres.join(sizes, "center_id"), assigned
 
 
-def kmeans(points: DataFrame, id_col: str, vec_col: str, k: int, seed: int = 444, max_iter: int = 100) -> DataFrame:
-    """``id, cluster`` (1..k) by k-means on any number of rows."""
-    vectors = points.select(id_col, array_to_vector(vec_col).alias("features"))
-    model = KMeans(k=k, maxIter=max_iter, seed=seed).fit(vectors)
-    return model.transform(vectors).select(id_col, (F.col("prediction") + 1).cast("int").alias("cluster"))
+def kmeans(points: DataFrame, id_col: str, vec_col: str, k: int, seed: int = 444, max_iter: int = 100, starts: int = 1) -> DataFrame:
+    """``id, cluster`` (1..k, in coordinate order of the centres) by k-means on any number of rows."""
+    grid = lloyd.on_grid(points, id_col, vec_col)
+    found = lloyd.fit(grid, k, starts, seed, max_iter)
+    placed = lloyd.assign(grid, found, points.schema[id_col].dataType.simpleString())
+    return placed.select(F.col("id").alias(id_col), (F.col("centre") + 1).cast("int").alias("cluster"))
 
 
 def _over_blocks(spark: SparkSession, n: int, work: Callable[[np.ndarray], pd.DataFrame], schema: str) -> pd.DataFrame:

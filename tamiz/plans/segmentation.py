@@ -118,7 +118,7 @@ def compare_methods(
 
 def segment_reports(segmented: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
     """Profile and alert thresholds of a segmented table."""
-    groups = [r["cluster"] for r in segmented.select("cluster").distinct().orderBy("cluster").take(1000)]
+    groups = range(1, model.k + 1)
     profile = cluster_profile(segmented, "cluster", groups, model.binary, model.continuous)
     return profile, alert_thresholds(segmented, "cluster", groups, model.continuous)
 
