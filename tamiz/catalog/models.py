@@ -9,7 +9,8 @@ from tamiz.catalog.areas import _rates
 from tamiz.catalog.base import query, table
 from tamiz.catalog.cleaning import ASSOCIATE_SQL, associate_silver
 from tamiz.catalog.features import SCALE, population_features
-from tamiz.operators import balls, cluster, reduce, transform, validate
+from tamiz.operators import balls, bind, cluster, consolidate, reduce, transform, validate
+from tamiz.operators.quantiles import long_form
 from tamiz.operators.route import LEGAL, LOW_AMOUNT, NATURAL
 from tamiz.plans import associates, segmentation
 from tamiz.session import cut_lineage
@@ -287,6 +288,42 @@ def attach_labels_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.join(vectors.select("vec_id", "label"), "vec_id").select("vec_id", "label", "first")
 
 
+@query(
+    "bind_by_position",
+    """SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda c: CAST(c AS DOUBLE) * CAST(c AS DOUBLE))), 6) AS square
+    FROM embeddings""",
+)
+def bind_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of one frame beside the labels of another, by row order: the frames share no key and are cut differently."""
+    vectors = table(spark, sf_dir, "embeddings")
+    square = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x)
+    scores = vectors.repartitionByRange(7, "vec_id").sortWithinPartitions("vec_id").select("vec_id", F.round(square, 6).alias("square"))
+    labels = vectors.repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id").select("label")
+    return bind.bind_columns(scores, labels).select("vec_id", "label", "square")
+
+
+@query(
+    "common_numeric_columns",
+    """WITH c AS (SELECT regexp_replace(column_name, '^[a-z]+_', '') AS name FROM (DESCRIBE customer)
+      WHERE column_type IN ('DOUBLE', 'FLOAT', 'BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') OR column_type LIKE 'DECIMAL%'),
+    s AS (SELECT regexp_replace(column_name, '^[a-z]+_', '') AS name FROM (DESCRIBE supplier)
+      WHERE column_type IN ('DOUBLE', 'FLOAT', 'BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') OR column_type LIKE 'DECIMAL%')
+    SELECT name, round(avg(v), 4) AS mean FROM (
+      SELECT 'acctbal' AS name, c_acctbal AS v FROM customer UNION ALL SELECT 'acctbal', s_acctbal FROM supplier
+      UNION ALL SELECT 'nationkey', c_nationkey FROM customer UNION ALL SELECT 'nationkey', s_nationkey FROM supplier)
+    WHERE name IN (SELECT name FROM c) AND name IN (SELECT name FROM s) GROUP BY 1""",
+)
+def common_numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over both frames of the numeric columns that they share."""
+    frames = [
+        df.toDF(*[c.split("_", 1)[1] for c in df.columns]) for df in (table(spark, sf_dir, t) for t in ("customer", "supplier"))
+    ]
+    shared = consolidate.common_numeric(*frames)
+    both = consolidate.stack_by_name(*[df.select(*shared) for df in frames])
+    tall = long_form(both, [], shared)
+    return tall.groupBy(F.col("variable").alias("name")).agg(F.round(F.avg("value"), 4).alias("mean"))
+
+
 def _boxcox_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders", spread=True).select(F.col("o_totalprice").alias("price"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("balance"))
@@ -308,16 +345,21 @@ def _round_sql(name: str, step: float, half: float, centre: str) -> str:
 {name} AS (SELECT variable, arg_max(lam, ll) AS best FROM {name}_ll GROUP BY 1)"""
 
 
+# Step and half-width of each round of the SQL's grid search; a parabola through its last three points is the result.
+_ROUNDS = ((0.5, 3.0), (0.1, 0.5), (0.01, 0.1), (0.001, 0.01))
+
+
 def _boxcox_sql() -> str:
+    last = f"r{len(_ROUNDS)}"
     parts = [_SHIFTED_SQL, "r0 AS (SELECT DISTINCT variable, CAST(0 AS DOUBLE) AS best FROM x)"]
-    for i, (step, half) in enumerate(transform.ROUNDS):
+    for i, (step, half) in enumerate(_ROUNDS):
         parts.append(_round_sql(f"r{i + 1}", step, half, f"r{i}"))
-    step = transform.ROUNDS[-1][0]
+    step = _ROUNDS[-1][0]
     parts.append(
-        f"""ends AS (SELECT r3.variable, best, max(CASE WHEN abs(lam - best) < {step / 10} THEN ll END) AS fb,
+        f"""ends AS (SELECT {last}.variable, best, max(CASE WHEN abs(lam - best) < {step / 10} THEN ll END) AS fb,
   max(CASE WHEN abs(lam - best + {step}) < {step / 10} THEN ll END) AS fa,
   max(CASE WHEN abs(lam - best - {step}) < {step / 10} THEN ll END) AS fc
-  FROM r3 JOIN r3_ll USING (variable) GROUP BY 1, 2),
+  FROM {last} JOIN {last}_ll USING (variable) GROUP BY 1, 2),
 mle AS (SELECT variable, best - (fc - fa) / (2 * {step}) / ((fa - 2 * fb + fc) / ({step} * {step})) AS m,
   {transform.Z95} / sqrt(-(fa - 2 * fb + fc) / ({step} * {step})) AS reach FROM ends)"""
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import NumericType
 
 from tamiz.data.jurisdictions import TIER_INTERNATIONAL, TIER_OF_CITY, TIER_OTHER, place_rows
 from tamiz.functions.recodes import recode
@@ -117,3 +118,9 @@ def income_columns(columns: Sequence[str]) -> dict[str, Column]:
 def update_where(df: DataFrame, column: str, condition: Column, value: Column) -> DataFrame:
     """Set ``column`` on the rows that meet ``condition``."""
     return df.withColumn(column, F.when(condition, value).otherwise(F.col(column)))
+
+
+def common_numeric(first: DataFrame, second: DataFrame) -> list[str]:
+    """Names that are numeric columns of both frames, in the order of the first."""
+    numeric = [{f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)} for df in (first, second)]
+    return [c for c in first.columns if c in numeric[0] & numeric[1]]

@@ -203,9 +203,30 @@ def test_conventional_exponent_inside_the_interval(spark):
     assert transform.boxcox_fit(df, ["a"]).first()["lambda"] == 0.0
 
 
-def test_nearly_constant_column_ends_at_the_bound(spark):
-    df = spark.createDataFrame([(1.0,)] * 500 + [(2.0,)], "a double")
-    assert transform.boxcox_fit(df, ["a"]).first()["lambda"] == -transform.LIMIT
+def loglik(x, lam):
+    logs = np.log(x) - np.log(x).mean()
+    y = logs if lam == 0 else np.expm1(lam * logs) / lam
+    return -len(x) / 2 * np.log(y.var())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exponents_of_any_size_are_maxima(spark, seed):
+    rng = np.random.default_rng(seed)
+    columns = {
+        "two": np.array([1.0] * 500 + [2.0]), "narrow": 1000 + rng.gamma(2.0, 1.0, 501), "wide": rng.lognormal(2, 3, 501),
+        "steep": rng.lognormal(0, 0.01, 501) ** -3 + 5, "square": rng.normal(10, 1, 501) ** 0.5, "huge": rng.lognormal(300, 1, 501),
+    }
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in zip(*columns.values())], ", ".join(f"{c} double" for c in columns))
+    for r in transform.boxcox_fit(df, list(columns)).collect():
+        x, lam = columns[r["variable"]], r["lambda_mle"]
+        step = 1e-3 * max(1.0, abs(lam))
+        best = loglik(x, lam)
+        assert best >= max(loglik(x, lam - step), loglik(x, lam + step)), r
+        assert best >= max(loglik(x, v) for v in np.linspace(-6, 6, 49)) - 1e-6, r
+    two = transform.boxcox_fit(df, ["two"]).first()
+    assert two["lambda_mle"] < -100  # far beyond any grid
+    assert np.isfinite(transform.boxcox_apply(df, transform.boxcox_fit(df, ["huge", "two"])).agg(F.var_pop("huge"), F.var_pop("two")).first()).all()
+
 
 
 def test_components_match_eigh(spark):

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tamiz.operators import consolidate as con, features as feat, profile as prof, quality, quantiles, route
+from tamiz.operators import bind, consolidate as con, features as feat, profile as prof, quality, quantiles, route
 from tests.conftest import rows
 
 
@@ -206,3 +206,27 @@ def test_levels_have_a_ceiling(spark, monkeypatch):
     df = spark.createDataFrame([("x",), ("y",), ("z",)], "c string")
     with pytest.raises(ValueError):
         feat.one_hot(df, ["c"])
+
+
+def test_rows_are_numbered_in_their_own_order(spark):
+    uneven = spark.sparkContext.parallelize(range(7), 5).flatMap(lambda i: [(i, j) for j in range(i * i % 5)])
+    df = spark.createDataFrame(uneven, "a int, b int")
+    got = sorted((r["position"], r["a"], r["b"]) for r in bind.numbered(df).collect())
+    assert got == [(n, a, b) for n, (a, b) in enumerate([(i, j) for i in range(7) for j in range(i * i % 5)], 1)]
+    assert bind.numbered(df.limit(0)).count() == 0
+
+
+def test_frames_are_bound_by_position(spark):
+    left = spark.range(0, 100, 1, 7).toDF("x").orderBy(F.desc("x"))
+    right = spark.range(0, 200, 2, 3).toDF("y")
+    assert sorted(rows(bind.bind_columns(left, right))) == sorted((99 - i, 2 * i) for i in range(100))
+    with pytest.raises(ValueError):
+        bind.bind_columns(left, right.limit(99))
+    with pytest.raises(ValueError):
+        bind.bind_columns(left, left)
+
+
+def test_common_numeric_columns(spark):
+    a = spark.createDataFrame([], "k string, x double, n int, d decimal(4,1), t date")
+    b = spark.createDataFrame([], "d bigint, x string, n float, k string, t date")
+    assert con.common_numeric(a, b) == ["n", "d"]
