@@ -16,8 +16,7 @@ import os
 import re
 import sys
 import types
-
-import numpy as np
+from array import array
 
 GENERATION = 1 << 19  # entries of one generation of a memo
 LONGEST = 64  # bytes of a key; with its ids and its place in the table an entry takes 0.5 kB at most, 0.2 kB usually
@@ -44,7 +43,10 @@ def for_worker(path: str) -> Vocabulary:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    words = array("I", ids)
+    if sys.byteorder == "big":
+        words.byteswap()
+    return words.tobytes()
 
 
 class Memo:
@@ -127,7 +129,9 @@ class Vocabulary:
         coded = self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
         found |= {p: _packed(e.ids) for p, e in zip(other, coded)}
         self.pieces.add({p: i for p, i in found.items() if len(p) <= LONGEST})
-        return [found[p] if i is None else i for p, i in zip(pieces, ids)]
+        for i in [i for i, known in enumerate(ids) if known is None]:
+            ids[i] = found[pieces[i]]
+        return ids
 
 
 def _plain_letter(end: str) -> bool:
