@@ -197,6 +197,13 @@ def test_boxcox_exponent_is_the_maximum(spark):
     assert out.select("flat").distinct().collect()[0][0] == 7.0
 
 
+def test_missing_values_stay_missing(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (9.0,)], "a double")
+    fitted = spark.createDataFrame([("a", 0.0, 0.5, 0.5)], "variable string, shift double, lambda_mle double, lambda double")
+    assert sorted(rows(transform.boxcox_apply(df, fitted)), key=repr) == [(0.0,), (4.0,), (None,)]
+    assert transform.likelihood_grid(df, ["a"], [0.5]).first()["loglik"] == pytest.approx(-np.log(4.0) + -0.5 * np.log(9.0))
+
+
 def test_conventional_exponent_inside_the_interval(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(float(v),) for v in rng.lognormal(2, 1, 400)], "a double")
