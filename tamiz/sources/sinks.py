@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +45,20 @@ def keep_existing(df: DataFrame, name: str) -> None:
 
 
 def swap(df: DataFrame, name: str) -> None:
-    """Replace a table by rows derived from it: write aside, drop, rename."""
+    """Replace a table by rows derived from it, without a moment in which there is none.
+
+    The rows are written to a new folder beside the table's own, then the catalog entry is pointed at it in one step. Queries
+    planned before still read the old folder, which stays; a failed write leaves the table as it was. The table must not be
+    partitioned (``layers.Layers`` has no such limit).
+    """
     spark = df.sparkSession
-    aside = f"{name}_next"
-    spark.sql(f"DROP TABLE IF EXISTS {aside}")
-    df.write.mode("overwrite").format("parquet").saveAsTable(aside)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+    parts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    if "# Partition Information" in parts:
+        raise ValueError(f"{name} is partitioned")
+    target = f"{parts['Location'].rstrip('/')}-{uuid.uuid4().hex[:12]}"
+    df.select(*spark.table(name).columns).write.parquet(target)
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{target}'")
+    spark.catalog.refreshTable(name)
 
 
 def export(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> dict[str, str]:
