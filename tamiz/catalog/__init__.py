@@ -1,6 +1,6 @@
 """Queries over the shared test tables."""
 
-from tamiz.catalog import areas, cleaning, features, ingest, models, reports  # noqa: F401  (importing registers)
+from tamiz.catalog import areas, cleaning, features, ingest, layered, models, reports  # noqa: F401  (importing registers)
 from tamiz.catalog.base import ORACLES, QUERIES, Query
 
 

@@ -33,9 +33,10 @@ def append(df: DataFrame, name: str) -> None:
     df.select(*df.sparkSession.table(name).columns).write.insertInto(name)
 
 
-def replace(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
+def replace(df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None) -> None:
     """Write the table anew; a second run gives the same table."""
     writer = df.write.mode("overwrite").format("parquet")
+    writer = writer.option("path", path) if path else writer
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
 
 
