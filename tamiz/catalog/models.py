@@ -437,6 +437,63 @@ def pca_variable_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.variable_quality(spark, _embedding_fit(spark, sf_dir)[1])
 
 
+_LONG_SQL = """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+  s AS (SELECT i, avg(v) AS m, stddev_pop(v) AS sd FROM x GROUP BY i),
+  z AS (SELECT vec_id, i, (v - m) / sd AS z FROM x JOIN s USING (i) WHERE sd > 0)"""
+
+
+@query(
+    "pca_rebuilds_correlations",
+    f"""{_LONG_SQL} SELECT 'e' || a.i AS variable, 'e' || b.i AS other, round(avg(a.z * b.z), 6) AS correlation
+    FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""",
+)
+def pca_rebuilds_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of all 64 components multiplied back into the correlations, which SQL has on its own."""
+    quality = reduce.variable_quality(spark, _embedding_fit(spark, sf_dir, 64)[1])
+    place = F.substring("variable", 2, 9).cast("int")
+    left = quality.select("component", "variable", place.alias("i"), "coordinate")
+    right = quality.select("component", F.col("variable").alias("other"), place.alias("j"), F.col("coordinate").alias("c2"))
+    pairs = left.join(right, "component").where("i <= j").groupBy("variable", "other")
+    return pairs.agg(F.round(F.sum(F.col("coordinate") * F.col("c2")), 6).alias("correlation"))
+
+
+@query("pca_score_norms", f"{_LONG_SQL} SELECT vec_id, round(sum(z * z), 5) AS norm FROM z GROUP BY vec_id")
+def pca_score_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 scores of a row keep its squared length."""
+    wide, fit = _embedding_fit(spark, sf_dir, 64)
+    scores = reduce.pca_scores(wide, fit, ["vec_id"])
+    return scores.select("vec_id", F.round(F.aggregate("scores", F.lit(0.0), lambda a, s: a + s * s), 5).alias("norm"))
+
+
+@query(
+    "pca_conditions",
+    f"""{_LONG_SQL}, r AS (SELECT avg(a.z * b.z) AS r FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY a.i, b.i),
+      n AS (SELECT count(*) AS n FROM s WHERE sd > 0)
+    SELECT 'trace' AS condition, CAST(n AS DOUBLE) AS value FROM n
+    UNION ALL SELECT 'square sum', round(sum(r * r), 6) FROM r
+    UNION ALL SELECT 'cos2 sum', CAST(n AS DOUBLE) FROM n
+    UNION ALL SELECT 'score mean, largest', 0.0
+    UNION ALL SELECT 'score variance against eigenvalue, largest gap', 0.0
+    UNION ALL SELECT 'score correlation, largest', 0.0""",
+)
+def pca_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What eigenvalues, cos2 and scores of all 64 components must meet."""
+    wide, fit = _embedding_fit(spark, sf_dir, 64)
+    names = [f"dim_{i + 1}" for i in range(fit.loadings.shape[1])]
+    scores = reduce.score_columns(reduce.pca_scores(wide, fit, ["vec_id"]), [], len(names))
+    rows, means, deviations = reduce.centred_products(scores, names)
+    values = np.array(fit.eigenvalues)
+    cos2 = reduce.variable_quality(spark, fit).agg(F.sum("cos2")).scalar()
+    facts = {
+        "trace": values.sum(), "square sum": (values**2).sum(), "score mean, largest": np.abs(means).max(),
+        "score variance against eigenvalue, largest gap": np.abs(np.diag(deviations) / rows - values).max(),
+        "score correlation, largest": np.abs(deviations / rows - np.diag(np.diag(deviations)) / rows).max(),
+    }
+    out = spark.createDataFrame([(k, float(round(v, 6))) for k, v in facts.items()], "condition string, value double")
+    last = spark.range(1).select(F.lit("cos2 sum").alias("condition"), F.round(cos2, 6).alias("value"))
+    return out.unionByName(last)
+
+
 # Two columns have a closed form: eigenvalues 1 +- |r|, scores (z1 +- z2) / sqrt(2).
 _PAIR_SQL = """WITH s AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa, avg(c_nationkey) AS mn,
     stddev_pop(c_nationkey) AS sn, corr(c_acctbal, c_nationkey) AS r FROM customer)"""

@@ -1,36 +1,78 @@
-"""Standardised principal components."""
+"""Standardised principal components from a mergeable table of cross products."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+TIE = 1e-9  # lets the first of two loadings of equal size decide the sign
+
 
 @dataclass(frozen=True)
 class Components:
-    """A fitted reduction: scaling of each kept column, the Spark model, and its signs."""
+    """A fitted reduction: scaling of each kept column and the unit loadings of the kept components."""
 
     columns: tuple[str, ...]
     means: tuple[float, ...]
     scales: tuple[float, ...]
     eigenvalues: tuple[float, ...]
-    signs: tuple[float, ...]
     loadings: np.ndarray  # columns x components, unit length
-    model: PCAModel
 
 
-def scaled_vector(fit_columns: Sequence[str], means: Sequence[float], scales: Sequence[float]) -> Column:
-    """Centred and scaled columns as one vector; a missing value takes the column mean, hence 0."""
-    parts = [
-        F.coalesce((F.col(f"`{c}`").cast("double") - F.lit(m)) / F.lit(s), F.lit(0.0))
-        for c, m, s in zip(fit_columns, means, scales)
-    ]
-    return array_to_vector(F.array(*parts))
+def _values(columns: Sequence[str]) -> Column:
+    return F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+
+
+def _matrix(rows: pa.Array, width: int) -> np.ndarray:
+    """Arrow lists of ``width`` numbers as a matrix; missing numbers are NaN."""
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)
+
+
+def centred_products(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means, and sums of products of deviations, a missing value standing at its column's mean.
+
+    One pass. Every task adds up three square tables over its batches: products of shifted values, shifted sums over rows
+    where the other column is present, and counts of rows with both. The tables add across tasks in one small aggregate, and
+    means and deviations follow from them. The shift, the means of a few rows, only keeps numbers of like size; the result
+    does not depend on it. What reaches the driver is bounded by the square of the number of columns.
+    """
+    width = len(columns)
+    near = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).limit(1000)
+    shift = np.array([v or 0.0 for v in near.agg(*[F.avg(f"c{i}") for i in range(width)]).first()], dtype=float)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, (products, sums, both) = 0, np.zeros((3, width, width))
+        for batch in batches:
+            x = _matrix(batch.column(0), width) - shift
+            there = ~np.isnan(x)
+            x, mask = np.where(there, x, 0.0), there.astype(float)
+            products += x.T @ x
+            sums += x.T @ mask
+            both += mask.T @ mask
+            rows += len(x)
+        if rows:
+            i, j = np.divmod(np.arange(width * width), width)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(m.ravel()) for m in (products, sums, both)],
+                 pa.array(np.where(i + j == 0, rows, 0), pa.int64())],
+                names=["i", "j", "p", "s", "n", "rows"],
+            )
+
+    parts = df.select(_values(columns).alias("x")).mapInArrow(add_up, "i int, j int, p double, s double, n double, rows long")
+    total = parts.groupBy("i", "j").agg(F.sum("p"), F.sum("s"), F.sum("n"), F.sum("rows")).collect()
+    if not total:
+        return 0, shift, np.zeros((width, width))
+    p, s, n = (np.zeros((width, width)) for _ in range(3))
+    for i, j, *found, _ in total:
+        p[i, j], s[i, j], n[i, j] = found
+    mean = np.diag(s) / np.maximum(np.diag(n), 1)
+    deviations = p - mean[:, None] * s.T - mean[None, :] * s + np.outer(mean, mean) * n
+    return sum(r[-1] for r in total), mean + shift, deviations
 
 
 def pca_fit(df: DataFrame, columns: Sequence[str], n_components: int) -> Components:
@@ -38,38 +80,37 @@ def pca_fit(df: DataFrame, columns: Sequence[str], n_components: int) -> Compone
 
     Columns without variance are left out. Each component points where its largest loading is positive.
     """
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`").cast("double")
-        aggs += [F.avg(v).alias(f"m{i}"), F.var_pop(v).alias(f"v{i}"), F.count(v).alias(f"n{i}")]
-    s = df.agg(*aggs).first()
-    kept, means, scales = [], [], []
-    for i, c in enumerate(columns):
-        if s[f"v{i}"]:
-            kept.append(c)
-            means.append(s[f"m{i}"])
-            scales.append((s[f"v{i}"] * s[f"n{i}"] / s["rows"]) ** 0.5)
-    if not kept:
+    rows, means, deviations = centred_products(df, columns)
+    spread = np.diag(deviations)
+    # Rounding can leave a constant column a spread of some units in the last place of its square sum.
+    varies = spread > 1e-26 * rows * np.square(means)
+    if not varies.any():
         raise ValueError("no column varies")
-    m = min(n_components, len(kept))
-    vectors = df.select(scaled_vector(kept, means, scales).alias("z"))
-    model = PCA(k=len(kept), inputCol="z", outputCol="pc").fit(vectors)
-    loadings = model.pc.toArray()
-    # 1e-9 keeps the choice stable when two loadings tie in size.
-    lead = [int(np.argmax(np.abs(loadings[:, j]) - 1e-9 * np.arange(len(kept)))) for j in range(len(kept))]
-    signs = [1.0 if loadings[r, j] >= 0 else -1.0 for j, r in enumerate(lead)]
-    eigen = model.explainedVariance.toArray() * len(kept)
+    scales = np.sqrt(spread[varies] / rows)
+    correlations = deviations[np.ix_(varies, varies)] / rows / np.outer(scales, scales)
+    values, vectors = np.linalg.eigh((correlations + correlations.T) / 2)
+    values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+    kept = [c for c, v in zip(columns, varies) if v]
+    loadings = vectors[:, : min(n_components, len(kept))]
+    lead = np.argmax(np.abs(loadings) - TIE * np.arange(len(kept))[:, None], axis=0)
+    signs = np.where(loadings[lead, np.arange(loadings.shape[1])] >= 0, 1.0, -1.0)
     return Components(
-        tuple(kept), tuple(means), tuple(scales), tuple(eigen), tuple(signs[:m]), loadings[:, :m] * signs[:m], model
+        tuple(kept), tuple(means[varies].tolist()), tuple(scales.tolist()), tuple(values.tolist()), loadings * signs
     )
 
 
 def pca_scores(df: DataFrame, fit: Components, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns and ``scores``, an array with one number per component."""
-    z = df.select(*keep, scaled_vector(fit.columns, fit.means, fit.scales).alias("z"))
-    signs = F.array(*[F.lit(s) for s in fit.signs])
-    raw = F.slice(vector_to_array("pc"), 1, len(fit.signs))
-    return fit.model.transform(z).select(*keep, F.zip_with(raw, signs, lambda a, b: a * b).alias("scores"))
+    means, weights = np.array(fit.means), fit.loadings / np.array(fit.scales)[:, None]
+
+    @F.pandas_udf("array<double>")
+    def scores(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        centred = np.stack(x.to_numpy()).astype(float) - means
+        return pd.Series(list(np.where(np.isnan(centred), 0.0, centred) @ weights))
+
+    return df.select(*keep, scores(_values(fit.columns)).alias("scores"))
 
 
 def score_columns(scores: DataFrame, keep: Sequence[str], n_components: int) -> DataFrame:
