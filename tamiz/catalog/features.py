@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tamiz.catalog.base import query, table
 from tamiz.catalog.cleaning import ASSOCIATE_SQL, SILVER_SQL, associate_silver, silver
 from tamiz.functions import dates
+from tamiz.functions.text import spaced_names
 from tamiz.operators import features as feat
 from tamiz.operators.quality import category_share, row_counts, zero_share
 from tamiz.operators.route import LEGAL, LOW_AMOUNT, NATURAL, assign_population
@@ -150,6 +151,42 @@ def one_hot_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.one_hot(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
 
 
+_LEVELS_SQL = """WITH long AS (
+    SELECT p_partkey, 'p_name' AS "column", p_name AS level FROM part
+    UNION ALL SELECT p_partkey, 'p_brand', CASE WHEN p_size > 5 THEN p_brand END FROM part),
+  d AS (SELECT "column", level, row_number() OVER (ORDER BY "column", level) - 1 AS position
+    FROM (SELECT DISTINCT "column", level FROM long WHERE level IS NOT NULL))"""
+
+
+def _part_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return parts.select("p_partkey", "p_name", F.when(F.col("p_size") > 5, F.col("p_brand")).alias("p_brand"))
+
+
+@query("one_hot_long", f"""{_LEVELS_SQL} SELECT p_partkey, "column", level, 1 AS value FROM long WHERE level IS NOT NULL""")
+def one_hot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names have nearly as many levels as rows; some brands are missing."""
+    return feat.one_hot_long(_part_levels(spark, sf_dir), "p_partkey", ["p_name", "p_brand"])
+
+
+@query(
+    "one_hot_sparse",
+    f"""{_LEVELS_SQL}, f AS (SELECT p_partkey, string_agg(position, ' ' ORDER BY position) AS positions
+      FROM long JOIN d ON long."column" = d."column" AND long.level = d.level GROUP BY p_partkey)
+    SELECT p.p_partkey, coalesce(positions, '') AS positions FROM part p LEFT JOIN f ON f.p_partkey = p.p_partkey""",
+)
+def one_hot_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, columns = _part_levels(spark, sf_dir), ["p_name", "p_brand"]
+    out = feat.one_hot_sparse(parts, "p_partkey", columns, feat.level_dictionary(parts, columns))
+    return out.withColumn("positions", F.array_join("positions", " "))
+
+
+@query("spaced_headings", 'SELECT n_nationkey AS "n nationkey", n_name AS "n name", n_regionkey AS "n regionkey" FROM nation')
+def spaced_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return nations.toDF(*spaced_names(nations.columns))
+
+
 @query(
     "dummies_null_policy",
     """WITH c AS (SELECT c_custkey, CASE WHEN c_nationkey > 2 THEN c_mktsegment END AS seg FROM customer)

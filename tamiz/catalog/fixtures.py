@@ -52,3 +52,17 @@ def write_lines(df: DataFrame, header: str, name: str) -> str:
     plain = {"header": True, "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "escapeQuotes": False}
     df.select(F.col("line").alias(header), "src").write.partitionBy("src").options(**plain).csv(path)
     return path
+
+
+def write_files(lines: DataFrame, name: str) -> str:
+    """Write ``lines(file, nth, line)`` as plain text files of these names in one folder, lines in order of ``nth``."""
+    spark, path = lines.sparkSession, scratch_path(lines.sparkSession, name)
+    rows = lines.repartition("file").sortWithinPartitions("file", "nth")
+    rows.select("line", "file").write.partitionBy("file").text(f"{path}-parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(path))
+    for found in files.globStatus(hadoop.Path(f"{path}-parts/file=*/part-*")):
+        folder = found.getPath().getParent().getName()
+        files.rename(found.getPath(), hadoop.Path(f"{path}/{folder.partition('=')[2]}"))
+    return path

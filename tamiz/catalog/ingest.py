@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz.catalog.base import query, table
-from tamiz.catalog.fixtures import encode_workbook, write_lines
+from tamiz.catalog.fixtures import encode_workbook, write_files, write_lines
 from tamiz.catalog.standin import YEAR_SHIFT, shifted
 from tamiz.operators.quality import row_counts
 from tamiz.sources import delimited, sinks, workbook
@@ -114,6 +114,74 @@ def delimited_clients_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.read_clients_padded(spark, path)
 
 
+# One folder: client files of 11 to 14 columns, in which one segment's lines lack a column, and two files of movements.
+_FOLDER_SQL = """WITH c AS (
+  SELECT *, 11 + c_nationkey % 4 AS columns, CAST(2022 + c_nationkey % 4 AS VARCHAR) AS y, c_mktsegment = 'FURNITURE' AS wrong FROM customer),
+rows AS (SELECT *, 'Base Clientes_' || y || '.txt' AS source_file, CASE WHEN y = '2025' THEN '' ELSE y END AS year FROM c)
+"""
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    people = table(spark, sf_dir, "customer")
+    extra = F.col("c_nationkey") % 4
+    head = [
+        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")), F.lit("Nit"), F.col("c_name"), F.lit("0111"),
+        F.col("c_mktsegment"), F.col("c_acctbal").cast("string"), F.lit("n/a"), F.lit("1.5"),
+        F.col("c_custkey").cast("string"), F.lit("2"),
+    ]
+    tail = F.array(F.lit("3"), F.lit("A"), F.lit("x"), F.lit("y"))
+    n_tail = extra + F.when(F.col("c_mktsegment") == "FURNITURE", 0).otherwise(1)
+    clients = people.select(
+        F.concat(F.lit("Base Clientes_"), (2022 + extra).cast("string"), F.lit(".txt")).alias("file"),
+        F.col("c_custkey").cast("long").alias("nth"), F.array_join(F.concat(F.array(*head), F.slice(tail, F.lit(1), n_tail)), "|").alias("line"),
+    )
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "Abonos_2023.txt").otherwise("Retiros_2024.txt").alias("file")
+    fields = [
+        F.col("o_orderkey").cast("string"), F.lit("7/3/2023"), F.col("o_orderstatus"), F.lit("Ahorro"), F.lit("Fisico"), F.lit("CALI"),
+        F.col("o_totalprice").cast("string"), F.lit("E"), F.lit("8"),
+    ]
+    moves = table(spark, sf_dir, "orders").select(kind, F.col("o_orderkey").cast("long").alias("nth"), F.concat_ws("|", *fields).alias("line"))
+    headers = [(f"Base Clientes_{2022 + e}.txt", -1, "|".join(f"Campo {i}" for i in range(1, 12 + e))) for e in range(4)]
+    headers += [(f, -1, "|".join(delimited.MOVE_COLUMNS)) for f in ("Abonos_2023.txt", "Retiros_2024.txt")]
+    first = spark.createDataFrame(headers, "file string, nth long, line string")
+    return write_files(clients.unionByName(moves).unionByName(first), "folder")
+
+
+@query(
+    "folder_clients",
+    f"""{_FOLDER_SQL} SELECT 'N' || c_nationkey AS oficina, 'Nit' AS tipo_documento, c_name AS documento, '0111' AS ciiu,
+      c_mktsegment AS ocupacion, c_acctbal AS ingresos_mens, CAST(NULL AS DOUBLE) AS egresos_mens, 1.5 AS otros_ingresos,
+      CAST(c_custkey AS DOUBLE) AS total_activos, 2.0 AS total_pasivos, 3.0 AS valor_patrimoni, 'A' AS estado, source_file, year
+    FROM rows WHERE columns >= 12 AND NOT wrong""",
+)
+def folder_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delimited.read_folder(spark, _folder(spark, sf_dir))[0]
+
+
+@query(
+    "folder_moves",
+    """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'Abonos' ELSE 'Retiros' END AS transaction_type,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'Abonos_2023.txt' ELSE 'Retiros_2024.txt' END AS source_file, CAST(o_orderkey AS VARCHAR) AS num_ident,
+      DATE '2023-03-07' AS fecha_transac, o_orderstatus AS tipo_transac, o_totalprice AS monto FROM orders""",
+)
+def folder_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the same folder that are not client files."""
+    moves = delimited.read_folder(spark, _folder(spark, sf_dir))[1]
+    return moves.select("transaction_type", "source_file", "num_ident", "fecha_transac", "tipo_transac", "monto")
+
+
+@query(
+    "folder_rejects",
+    f"""{_FOLDER_SQL} SELECT source_file, columns, CASE WHEN wrong THEN columns - 1 ELSE columns END AS width,
+      CASE WHEN columns < 12 THEN 'file below twelve columns' ELSE 'line of another width' END AS reason, count(*) AS lines
+    FROM rows WHERE columns < 12 OR wrong GROUP BY ALL""",
+)
+def folder_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the folder load leaves out, by file and reason."""
+    path = _folder(spark, sf_dir)
+    return delimited.rejected_clients(spark, path, f"*{delimited.CLIENT_FILE_MARK}*.txt")
+
+
 _BOOK_ROWS = 2000  # customers per workbook: keys are unique, so a workbook never grows beyond this
 
 

@@ -142,3 +142,18 @@ def semi_join_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         for mode, match in (("nulls match", True), ("nulls differ", False))
     ]
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "null_rows_deleted",
+    """SELECT o_orderstatus, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus FROM orders)
+    WHERE o_orderstatus IS NOT NULL AND o_orderstatus <> 'P' GROUP BY ALL""",
+)
+def null_rows_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a status deleted from a stored table, then those of one status; a missing condition keeps a row."""
+    store = Layers(spark, scratch_path(spark, "layers"), TABLES)
+    moves = _as_declared(table(spark, sf_dir, "orders"), MOVE)
+    store.write("bronze.moves", moves.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus"))))
+    store.delete("bronze.moves", F.col("o_orderstatus") == "P")
+    store.delete("bronze.moves", F.col("o_orderstatus").isNull())
+    return store.read("bronze.moves").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))

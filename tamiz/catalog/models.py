@@ -9,7 +9,8 @@ from tamiz.catalog.areas import _rates
 from tamiz.catalog.base import query, table
 from tamiz.catalog.cleaning import ASSOCIATE_SQL, associate_silver
 from tamiz.catalog.features import SCALE, population_features
-from tamiz.operators import balls, bind, cluster, consolidate, reduce, transform, validate
+from tamiz.operators import balls, bind, cluster, consolidate, grid, reduce, transform, validate
+from tamiz.operators.features import level_dictionary
 from tamiz.operators.quantiles import long_form
 from tamiz.operators.route import LEGAL, LOW_AMOUNT, NATURAL
 from tamiz.plans import associates, segmentation
@@ -421,6 +422,45 @@ def _embedding_fit(spark: SparkSession, sf_dir: str, m: int = 10):
     return wide, reduce.pca_fit(wide, names, m)
 
 
+# Segments numbered from 0; by_segment cannot give more groups than there are segments.
+_GROUPINGS = ("by_balance", "by_key", "by_nation", "by_segment")
+_GRID_SQL = """WITH seg AS (SELECT c_custkey, c_nationkey, c_acctbal, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS s FROM customer),
+  g AS (SELECT unnest(['by_balance', 'by_key', 'by_nation', 'by_segment']) AS method), k AS (SELECT unnest([2, 3, 4, 5, 6]) AS k),
+  l AS (SELECT method, k, c_acctbal AS x, CAST(CASE method WHEN 'by_balance' THEN least(floor((c_acctbal + 1000) / 11000 * k), k - 1)
+      WHEN 'by_key' THEN c_custkey % k WHEN 'by_nation' THEN c_nationkey % k ELSE least(s, k - 1) END AS INTEGER) AS label
+    FROM seg, g, k WHERE NOT (method = 'by_segment' AND k = 6)),
+  c AS (SELECT method, k, label, count(*) AS n, var_pop(x) * count(*) AS inner_ss FROM l GROUP BY ALL),
+  t AS (SELECT var_pop(c_acctbal) * count(*) AS total_ss FROM customer),
+  ok AS (SELECT method, k, count(*) AS clusters, round(1 - sum(inner_ss) / any_value(total_ss), 6) AS share FROM c, t GROUP BY ALL)"""
+
+
+@query(
+    "grid_results",
+    f"""{_GRID_SQL} SELECT method, k, clusters, share, CASE WHEN clusters IS NULL THEN 'by_segment has 5 levels, 6 wanted' END AS error
+    FROM g CROSS JOIN k LEFT JOIN ok USING (method, k)""",
+)
+def grid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 4 x 5 grid of groupings of all customers, one of which cannot be had: it keeps a row that says why."""
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.col("c_acctbal").alias("x"))
+    segments = level_dictionary(people, ["c_mktsegment"]).select(F.col("level").alias("c_mktsegment"), "position")
+    people, n_segments = people.join(segments, "c_mktsegment"), segments.count()
+
+    def evaluate(method: str, k: int) -> DataFrame:
+        if method == "by_segment" and k > n_segments:
+            raise ValueError(f"by_segment has {n_segments} levels, {k} wanted")
+        labels = {
+            "by_balance": F.least(F.floor((F.col("x") + 1000) / 11000 * k), F.lit(k - 1).cast("long")),
+            "by_key": F.col("c_custkey") % k, "by_nation": F.col("c_nationkey") % k,
+            "by_segment": F.least("position", F.lit(k - 1).cast("long")),
+        }
+        n, mean = F.count(F.lit(1)), F.avg("x").alias("mean")
+        per = people.groupBy(labels[method].alias("label")).agg(n.alias("n"), mean, (F.var_pop("x") * n).alias("inside"))
+        total = F.sum("inside") + F.sum(F.col("n") * F.col("mean") ** 2) - F.sum(F.col("n") * F.col("mean")) ** 2 / F.sum("n")
+        return per.agg(n.alias("clusters"), F.round(1 - F.sum("inside") / total, 6).alias("share"))
+
+    return grid.grid_results(spark, evaluate, {"clusters": "bigint", "share": "double"}, _GROUPINGS)
+
+
 @query("pca_scores")
 def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, fit = _embedding_fit(spark, sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tamiz.functions.numbers import distinct_periods, half_even, rate_per, safe_ratio
 from tamiz.functions.text import composite_key
+from tamiz.operators.bind import numbered
 
 # One-hot columns and pivots become schema, so their number has a ceiling.
 MAX_LEVELS = 1000
@@ -124,6 +125,35 @@ def one_hot(df: DataFrame, levels_of: Mapping[str, Sequence[str]] | Sequence[str
     return df.withColumns(flags).drop(*levels_of)
 
 
+def one_hot_long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``key, column, level, value``: one row of value 1 per present level, for any number of levels. A null gives no row."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])
+    long = df.select(key, F.inline(pairs)).where(F.col("level").isNotNull())
+    return long.withColumn("value", F.lit(1))
+
+
+def level_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, level, position``: every level found, numbered from 0 by column and level.
+
+    Levels are made distinct, sorted over all tasks, and numbered from the sizes of the sorted parts.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])
+    found = df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct()
+    return numbered(found.orderBy("column", "level")).withColumn("position", F.col("position") - 1)
+
+
+def one_hot_sparse(df: DataFrame, key: str, columns: Sequence[str], dictionary: DataFrame) -> DataFrame:
+    """``key, positions``: the places of the ones in each row's flag vector, ascending; ``key`` must tell rows apart.
+
+    A level outside the dictionary and a null have no place. Rows without any place have an empty list. The dictionary is
+    joined by the planner's choice of side, so it may have more levels than a broadcast holds.
+    """
+    found = one_hot_long(df, key, columns).join(dictionary, ["column", "level"])
+    places = found.groupBy(key).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    empty = F.array().cast("array<bigint>")
+    return df.select(key).join(places, key, "left").select(key, F.coalesce("positions", empty).alias("positions"))
+
+
 def indicators(source: Column, names: Mapping[str, str], null_policy: str, null_name: str | None = None) -> dict[str, Column]:
     """0/1 columns for listed values under one of two rules for a missing source.
 

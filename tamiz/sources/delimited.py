@@ -81,8 +81,13 @@ def file_headers(spark: SparkSession, path: str, pattern: str | None = None) ->
 
 
 def _judged_clients(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
-    """Data lines with ``reason``: why a line is left out, judged by its own file's header; null if it stays."""
-    rows = _lines(spark, path, pattern).join(file_headers(spark, path, pattern), "_path").where("value <> header")
+    """Data lines with ``reason``: why a line is left out, judged by its own file's header; null if it stays.
+
+    Headers are one row per file and go to the lines, which stay where they are read, up to the checked size. Each line that
+    equals its file's header is taken for a header, as in files put together from several.
+    """
+    headers = keep_small(file_headers(spark, path, pattern))
+    rows = _lines(spark, path, pattern).join(headers, "_path").where("value <> header")
     narrow = F.when(F.col("columns") < len(CLIENT_COLUMNS), "file below twelve columns")
     return rows.withColumn("reason", F.coalesce(narrow, F.when(F.col("_width") != F.col("columns"), "line of another width")))
 

@@ -14,7 +14,7 @@ import re
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tamiz.operators.quality import row_counts
@@ -102,6 +102,10 @@ class Layers:
         """Replace a table by rows derived from it."""
         return self.write(name, change(self.read(name)))
 
+    def delete(self, name: str, condition: Column) -> int:
+        """Replace a table by its rows for which ``condition`` is false or missing."""
+        return self.swap(name, lambda df: df.where(~F.coalesce(condition, F.lit(False))))
+
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """A table by name: the present version or a given one."""
         found = self.versions(name)

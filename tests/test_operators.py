@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tamiz.operators import bind, consolidate as con, features as feat, profile as prof, quality, quantiles, route
+from tamiz.operators import bind, consolidate as con, features as feat, grid, profile as prof, quality, quantiles, route
 from tests.conftest import rows
 
 
@@ -230,3 +230,35 @@ def test_common_numeric_columns(spark):
     a = spark.createDataFrame([], "k string, x double, n int, d decimal(4,1), t date")
     b = spark.createDataFrame([], "d bigint, x string, n float, k string, t date")
     assert con.common_numeric(a, b) == ["n", "d"]
+
+
+def test_sparse_flags_have_no_ceiling(spark, monkeypatch):
+    monkeypatch.setattr(feat, "MAX_LEVELS", 2)
+    df = spark.createDataFrame([(1, "b", 7), (2, None, 7), (3, "a", 8), (4, None, None), (5, "c", 7)], "i int, c string, d int")
+    known = feat.level_dictionary(df.repartition(5), ["c", "d"])
+    assert rows(known, "position") == [("c", "a", 0), ("c", "b", 1), ("c", "c", 2), ("d", "7", 3), ("d", "8", 4)]
+    assert rows(feat.one_hot_sparse(df, "i", ["c", "d"], known), "i") == [(1, [1, 3]), (2, [3]), (3, [0, 4]), (4, []), (5, [2, 3])]
+    fewer = known.where("level <> 'b'")
+    assert rows(feat.one_hot_sparse(df, "i", ["c"], fewer), "i") == [(1, []), (2, []), (3, [0]), (4, []), (5, [2])]
+    assert rows(feat.one_hot_long(df, "i", ["c"]), "i") == [(1, "c", "b", 1), (3, "c", "a", 1), (5, "c", "c", 1)]
+    none = df.where("false")
+    assert feat.one_hot_sparse(none, "i", ["c"], feat.level_dictionary(none, ["c"])).collect() == []
+
+
+def test_failed_configurations_say_why(spark):
+    def evaluate(method, k):
+        if method == "unknown":
+            raise ValueError("no such method\nmore")
+        df = spark.range(k).select(F.lit(float(k)).alias("m"))
+        if k == 3:
+            df = df.select(F.raise_error("broken").cast("double").alias("m"))
+        return df.where("m <> 4").limit(1) if k != 5 else df
+
+    out = grid.grid_results(spark, evaluate, {"m": "double"}, ["a", "unknown"], [5, 4, 3, 2])
+    got = [tuple(r) for r in out.collect()]
+    assert [r[:3] for r in got[:4]] == [("a", 2, 2.0), ("a", 3, None), ("a", 4, None), ("a", 5, None)]
+    assert [r[3] for r in got[2:]] == ["no row of metrics", "more than one row of metrics"] + ["no such method"] * 4
+    assert got[0][3] is None and got[1][3]
+    assert grid.succeeded(out).count() == 1 and grid.failed(out).count() == 7
+    with pytest.raises(KeyError):  # a fault of the program
+        grid.grid_results(spark, lambda method, k: {}[method], {"m": "double"}, ["a"], [2])
