@@ -186,8 +186,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def drop_rejected(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns. Two passes over the text, no shuffle of it."""
+    """The rows of ``docs`` that are kept, all columns. One pass of Python over the text, stored with its counts, no shuffle of it."""
     stages = Stages(docs.sparkSession)
-    rows = measured(docs.select(F.struct("*").alias("_doc")), *(f"_doc.{c}" for c in (text_col, lang_col, source_col)))
+    rows = stages.keep(measured(docs.select(F.struct("*").alias("_doc")), *(f"_doc.{c}" for c in (text_col, lang_col, source_col))))
     passed = rows.filter(~F.col("_q.base_failed")).select("_q.lang", "_q.source", "_q.x")
     return verdicts(rows, fit(passed, stages)).filter("kept").select("_doc.*")

@@ -12,12 +12,15 @@ younger one is full, what was not asked for since the last time goes.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import sys
 import types
 from array import array
 
+import pyarrow as pa
+
 GENERATION = 1 << 19  # entries of one generation of a memo
 LONGEST = 64  # bytes of a key; with its ids and its place in the table an entry takes 0.5 kB at most, 0.2 kB usually
 CLOSING = b".,;:!?$%&*#"
@@ -90,8 +93,14 @@ class Vocabulary:
         self.pieces = Memo(GENERATION)
 
     def forget(self) -> None:
+        """Empty the memos and give free memory back to the system, which a worker kept for later tasks would hold."""
         self.chunks.clear()
         self.pieces.clear()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+            if trim is not None:
+                trim(0)
 
     def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
         """Packed little-endian uint32 ids of each chunk."""
