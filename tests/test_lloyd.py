@@ -1,5 +1,7 @@
 """k-means against its own conditions, and under different partitionings."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +54,27 @@ def test_nearest_is_alike_for_any_batch():
     single = [lloyd.nearest(x[i : i + 1], c) for i in range(300)]
     assert at.tolist() == [int(a[0]) for a, _ in single] and d.tolist() == [float(v[0]) for _, v in single]
     assert d == pytest.approx(((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1))
+
+
+def test_nearest_of_many_centres_needs_no_table_of_all_distances():
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(4096, 4)) + 1e4, rng.normal(size=(1500, 4)) + 1e4
+    tracemalloc.start()
+    at, d = lloyd.nearest(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and d == pytest.approx(((x - c[at]) ** 2).sum(axis=1))
+    assert all(((x[i] - c) ** 2).sum(axis=1).min() == pytest.approx(d[i]) for i in range(0, 4096, 64))
+
+
+def test_only_moved_centres_come_back_and_sums_are_whole(spark):
+    x = np.array([[1.0, 1.0], [1.0, 1.0], [9.0, 5.0], [9.0, 7.0], [2.0**40, 0.0]])
+    grid = lloyd.on_grid(table(spark, x, 3), "id", "vec")
+    centres = np.array([[1.0, 1.0], [8.0, 6.0], [2.0**40, 0.0]])
+    near = np.round(x * grid.scale) / grid.scale
+    moved, cost = lloyd._moved(grid, {0: centres})[0]
+    counts, means, same = lloyd._totals(grid, {0: centres})[0]
+    where = lloyd.nearest(near, centres)[0]
+    assert counts.tolist() == np.bincount(where, minlength=3).tolist() and cost == same
+    for i in range(3):
+        assert moved[i].tolist() == (means[i] if counts[i] else centres[i]).tolist()
