@@ -272,3 +272,37 @@ def test_best_configuration(spark):
     )
     assert rows(validate.best_configuration(df).select("measure", "method", "k"), "measure") == [
         ("connectivity", "kmeans", 2), ("dunn", "pam", 3), ("silhouette", "kmeans", 2)]
+
+
+def test_profile_and_grid_of_more_rows_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr("tamiz.operators.pairs.HELD_ROWS", 16)
+    monkeypatch.setattr("tamiz.operators.pairs.TILE_ROWS", 8)
+    x = np.concatenate([blobs(60, seed=3) + 1e3, np.tile([1e3, 1e3], (12, 1))])
+    lab = np.arange(72) % 3 + 1
+    lab[0] = 9  # a cluster of one
+    df = spark.createDataFrame([(i, r.tolist(), int(v)) for i, (r, v) in enumerate(zip(x, lab))], "id bigint, vec array<double>, label int")
+    con, dunn, widths = naive_indices(x, lab)
+    d = kernels.distances(x, x)
+    profile = validate.point_profile(df).collect()
+    assert len(profile) == 72 * 4
+    for r in profile:
+        there = (lab == r["label"]) & (np.arange(72) != r["id"])
+        assert r["own"] == lab[r["id"]] and r["n"] == there.sum()
+        assert r["total"] == pytest.approx(d[r["id"]][there].sum())
+        assert r["nearest"] == (pytest.approx(d[r["id"]][there].min()) if there.any() else None)
+        assert r["farthest"] == (pytest.approx(d[r["id"]][there].max()) if there.any() else None)
+    labels = df.select("id", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(4).alias("k"), c.alias("cluster")) for m, c in
+                       (("given", F.col("label")), ("odd", F.col("label") % 2))])).alias("o")).select("o.method", "o.k", "id", "o.cluster")
+    for most in (10, 100):  # refused above ``max_items`` before
+        grid = validate.validation_grid(df, "id", "vec", labels, max_items=most).orderBy("method").collect()
+        assert tuple(grid[0])[2:] == pytest.approx((con, dunn, np.mean(widths)))
+        con_odd, dunn_odd, widths_odd = naive_indices(x, lab % 2)
+        assert tuple(grid[1])[2:] == pytest.approx((con_odd, dunn_odd, np.mean(widths_odd)))
+
+
+def test_profile_takes_more_rows_than_the_bound_of_centres(spark):
+    rng = np.random.default_rng(1)
+    near = rng.normal(size=(validate.MAX_ITEMS + 1, 2))
+    df = spark.createDataFrame([(i, r.tolist(), i % 2) for i, r in enumerate(near)], "id bigint, vec array<double>, label int")
+    got = validate.point_profile(df).where("id = 17 AND label = 0").first()
+    assert got["n"] == 5001 and got["total"] == pytest.approx(kernels.distances(near[17:18], near[::2]).sum())
