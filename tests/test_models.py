@@ -306,3 +306,13 @@ def test_profile_takes_more_rows_than_the_bound_of_centres(spark):
     df = spark.createDataFrame([(i, r.tolist(), i % 2) for i, r in enumerate(near)], "id bigint, vec array<double>, label int")
     got = validate.point_profile(df).where("id = 17 AND label = 0").first()
     assert got["n"] == 5001 and got["total"] == pytest.approx(kernels.distances(near[17:18], near[::2]).sum())
+
+
+def test_grid_results_send_levels_and_not_customers_to_the_driver(spark, tmp_path, monkeypatch):
+    from tamiz.catalog import models
+
+    people = [(i, i % 25, f"S{i % 5}", float(i % 97)) for i in range(500)]
+    spark.createDataFrame(people, "c_custkey bigint, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(models.grid, "grid_results", lambda spark, evaluate, *_: evaluate("by_key", 2))
+    plan = models.grid_results(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
