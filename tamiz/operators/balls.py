@@ -13,9 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tamiz.operators import kernels
+from tamiz.operators import kernels, pairs
 from tamiz.session import cut_lineage
 
 PIVOTS = 2048  # bound of the pivots that reach the driver and every task
@@ -45,7 +46,7 @@ def pivots_of(rows: DataFrame, most: int = PIVOTS) -> np.ndarray:
 
 
 def dealt(rows: DataFrame, pivots: np.ndarray, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``id, vec, label, ball, away, cell`` of every row, and ``ball, cells, radius`` of every ball.
+    """``id, vec, label, ball, away, cell`` of every row, and ``ball, n, cells, radius`` of every ball.
 
     Cells are hash parts of a ball, so that a ball of any size comes in pieces of about ``cell_rows``.
     """
@@ -59,7 +60,7 @@ def dealt(rows: DataFrame, pivots: np.ndarray, cell_rows: int = CELL_ROWS) -> tu
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     placed = cut_lineage(rows.mapInPandas(deal, f"{fields}, ball int, away double"))
     balls = placed.groupBy("ball").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"))
-    balls = cut_lineage(balls.select("ball", F.ceil(F.col("n") / cell_rows).cast("int").alias("cells"), "radius"))
+    balls = cut_lineage(balls.select("ball", "n", F.ceil(F.col("n") / cell_rows).cast("int").alias("cells"), "radius"))
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.col("cells")).cast("int")
     return placed.join(balls.select("ball", "cells"), "ball").withColumn("part", part).drop("cells"), balls
 
@@ -117,56 +118,120 @@ def _search_cells(members: DataFrame, visitors: DataFrame, k: int, label: str) -
     return spread.mapInPandas(search, _FOUND.format(label=label))
 
 
+def _blocks_of(known: list, reach: dict[int, float], between: np.ndarray, blocks: int) -> tuple[list, list]:
+    """Block of the asking rows of each cell, and the blocks that the rows of each ball have to pass.
+
+    Blocks are runs of cells with about as many rows each. A block is passed unless the triangle inequality puts the ball
+    out of reach of every ball in it.
+    """
+    total, before, cells, held = sum(r["n"] for r in known), 0, [], {}
+    for r in known:
+        for part in range(r["cells"]):
+            block = min(blocks - 1, before * blocks // total)
+            cells.append((r["ball"], part, block))
+            held.setdefault(r["ball"], set()).add(block)
+            before += -(-r["n"] // r["cells"])
+    balls = [r["ball"] for r in known]
+    radius = np.array([r["radius"] for r in known])
+    far = between[np.ix_(balls, balls)]
+    slack = SLACK * (far + radius[:, None] + radius[None, :])
+    near = far - radius[:, None] - radius[None, :] <= np.array([reach[b] for b in balls])[:, None] + slack
+    passed = []
+    for j, ball in enumerate(balls):
+        blocks_of_ball = sorted(set().union(*[held[balls[i]] for i in np.flatnonzero(near[:, j])]))
+        passed.append((ball, blocks_of_ball))
+    return cells, passed
+
+
 def nearest_rows(points: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 10, pivots: int = PIVOTS,
                  cell_rows: int = CELL_ROWS) -> DataFrame:
     """``id, label, rank, other, other_label, d``: the k nearest rows of every row, ties to the smaller id.
 
-    First every row is compared with its own cell. The k-th distance found there is its reach; it visits another cell
-    only if the triangle inequality lets that cell hold something within reach. Ids have to be unique; labels may be
-    null.
+    First every row is compared with its own cell. The k-th distance found there is its reach. Then tasks hold blocks of
+    asking rows, and the balls that the triangle inequality leaves open to a block pass by; a row looks at a ball only if
+    the ball can hold something nearer than its k nearest so far. Ids have to be unique; labels may be null.
     """
     rows = labelled_rows(points, id_col, vec_col, label_col)
-    label = rows.schema["label"].dataType.simpleString()
+    spark, label = rows.sparkSession, rows.schema["label"].dataType.simpleString()
     centres = pivots_of(rows, pivots)
     if not len(centres):
-        return rows.sparkSession.createDataFrame([], _FOUND.format(label=label)).select("id", "label", F.lit(1).alias("rank"), "other", "other_label", "d")
+        return spark.createDataFrame([], _FOUND.format(label=label)).select("id", "label", F.lit(1).alias("rank"), "other", "other_label", "d")
     placed, balls = dealt(rows, centres, cell_rows)
     placed = cut_lineage(placed)
-    # One row per pivot: bounded by ``pivots``.
-    known = balls.orderBy("ball").collect()
-    radius, cells = np.full(len(centres), -1.0), np.zeros(len(centres), dtype=int)
-    for r in known:
-        radius[r["ball"]], cells[r["ball"]] = r["radius"], r["cells"]
-    between = kernels.distances(centres, centres)
 
     own = placed.withColumn("reach", F.lit(float("inf")))
-    first = cut_lineage(_search_cells(placed, own, k, label))
+    first = _search_cells(placed, own, k, label)
     reach = first.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.max("d").alias("kth"))
     reach = reach.select("id", F.when(F.col("found") >= k, F.col("kth")).alias("kth"))
     asking = placed.join(reach, "id", "left").withColumn("reach", F.coalesce("kth", F.lit(float("inf")))).drop("kth")
+    asking = cut_lineage(asking)
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # One row per pivot: bounded by ``pivots``.
+    known = balls.orderBy("ball").collect()
+    farthest = {r["ball"]: r["most"] for r in asking.groupBy("ball").agg(F.max("reach").alias("most")).collect()}
+    radius = np.full(len(centres), -1.0)
+    for r in known:
+        radius[r["ball"]] = r["radius"]
+    between = kernels.distances(centres, centres)
+    blocks = pairs.blocks_for(sum(r["n"] for r in known), 2 * centres.shape[1] + 4 * k, spark.sparkContext.defaultParallelism)
+    cells, passed = _blocks_of(known, farthest, between, blocks)
+    block_of = spark.createDataFrame(cells, "ball int, part int, block int")
+    blocks_of = spark.createDataFrame(passed, "ball int, blocks array<int>")
+    kept = ["ball", "id", "vec", "label"]
+    members = placed.select(*kept).join(F.broadcast(blocks_of), "ball")
+    asking = asking.join(block_of, ["ball", "part"]).select(*kept, "away", "reach", "block")
+    both = pairs.met(asking, members, blocks).select("turn", *kept, "away", "reach").sortWithinPartitions("turn", "ball")
+
+    def found_by(rows: pa.RecordBatch, held: pairs.Nearest) -> Iterator[pa.RecordBatch]:
+        row, at = np.nonzero(np.isfinite(held.d))
+        ids, labels = rows.column("id"), rows.column("label")
+        tags = pa.array(held.tag[row, at].tolist(), labels.type)
+        columns = [ids.take(pa.array(row)), labels.take(pa.array(row)), pa.array(held.d[row, at]), pa.array(held.other[row, at]), tags]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "d", "other", "other_label"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, asked, held = [], None, None
         for batch in batches:
-            for start in range(0, len(batch), ASKED_ROWS):
-                some = batch.iloc[start : start + ASKED_ROWS]
-                t = some["reach"].to_numpy()[:, None]
-                d = kernels.distances(_matrix(some["vec"]), centres)
-                mine, home = some["ball"].to_numpy(), some["away"].to_numpy()[:, None]
-                gap = between[mine]
-                slack = SLACK * (d + radius[None, :])
+            cut = int(np.searchsorted(batch.column("turn").to_numpy(), 1))
+            if cut:
+                waiting.append(batch.slice(0, cut))
+            if cut == len(batch) or not waiting:
+                continue
+            if held is None:
+                asked = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                x = pairs.matrix(asked.column("vec"))
+                origin = x.mean(axis=0)
+                side = pairs.Side(x, origin, True)
+                mine, home = asked.column("ball").to_numpy(), asked.column("away").to_numpy()
+                ids = asked.column("id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                held = pairs.Nearest(len(x), k, asked.column("reach").to_numpy())
+            of_ball = batch.column("ball").to_numpy()
+            ends = np.append(np.flatnonzero(of_ball[cut + 1 :] != of_ball[cut:-1]) + cut + 1, len(batch))
+            for start, end in zip(np.append(cut, ends[:-1]), ends):
+                ball = of_ball[start]
+                d, gap = pairs.exact(x, centres[ball]), between[mine, ball]
+                t = np.minimum(held.reach, held.d[:, -1]) + SLACK * (d + radius[ball])
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = np.where(gap > 0, (d * d - home * home) / (2 * gap) - 1e-14 * d * d / gap, 0.0)
-                can = (d - radius[None, :] <= t + slack) & (plane <= t + slack) & (cells[None, :] > 0)
-                row, ball = np.nonzero(can)
-                again = np.repeat(np.arange(len(row)), cells[ball])
-                part = np.arange(len(again)) - np.repeat(np.cumsum(cells[ball]) - cells[ball], cells[ball])
-                row, ball = row[again], ball[again]
-                new = (ball != mine[row]) | (part != some["part"].to_numpy()[row])
-                out = some.iloc[row[new]]
-                yield out.assign(ball=ball[new].astype("int32"), part=part[new].astype("int32"))[["ball", "part", "id", "vec", "label", "reach"]]
-
-    visitors = asking.mapInPandas(visit, f"ball int, part int, id bigint, vec array<double>, label {label}, reach double")
-    found = first.unionByName(_search_cells(placed, visitors, k, label))
+                look = np.flatnonzero((d - radius[ball] <= t) & (plane <= t))
+                for at in range(start, end if len(look) else start, pairs.TILE_ROWS):
+                    some = batch.slice(at, min(pairs.TILE_ROWS, end - at))
+                    others, tags = some.column("id").to_numpy(), np.empty(len(some), dtype=object)
+                    tags[:] = some.column("label").to_pylist()
+                    there = pairs.Side(pairs.matrix(some.column("vec")), origin, False)
+                    same, member = pairs.same_key(ids[order], order, others)
+                    for low in range(0, len(look), pairs.TILE_ROWS):
+                        rows = look[low : low + pairs.TILE_ROWS]
+                        d2, off = pairs.squares(side, rows, there)
+                        place = np.searchsorted(rows, same)
+                        here = (place < len(rows)) & (rows[np.minimum(place, len(rows) - 1)] == same)
+                        d2[place[here], member[here]] = np.inf
+                        held.take(side, rows, there, others, tags, d2, off)
+        if held is not None:
+            yield from found_by(asked, held)
+
+    found = both.mapInArrow(search, _FOUND.format(label=label))
     order = Window.partitionBy("id").orderBy("d", "other")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("id", "label", "rank", "other", "other_label", "d")
@@ -248,17 +313,31 @@ def _info(rows: DataFrame) -> DataFrame:
     )
 
 
-def _looked_at(pairs: DataFrame, rows: DataFrame, widest: bool) -> float | None:
+def _extreme_of(a: np.ndarray, b: np.ndarray, widest: bool) -> float:
+    """Extreme distance between two sets: found by matrix products, taken from plain differences."""
+    best, origin = None, b.mean(axis=0)
+    left, right = pairs.Side(a, origin, True), pairs.Side(b, origin, False)
+    for start in range(0, len(a), pairs.TILE_ROWS):
+        d2, off = pairs.squares(left, slice(start, start + pairs.TILE_ROWS), right)
+        edge = d2.max() - 2 * off if widest else d2.min() + 2 * off
+        i, j = np.nonzero(d2 >= edge if widest else d2 <= edge)
+        for at in range(0, len(i), pairs.AT_ONCE):
+            d = pairs.exact(a[start + i[at : at + pairs.AT_ONCE]], b[j[at : at + pairs.AT_ONCE]])
+            found = float(d.max() if widest else d.min())
+            best = found if best is None else max(best, found) if widest else min(best, found)
+    return best
+
+
+def _looked_at(chosen: DataFrame, rows: DataFrame, widest: bool) -> float | None:
     """Extreme distance over the rows of a few pairs of small balls, one task per pair."""
-    named = pairs.withColumn("pair", F.concat_ws("|", "a", "b"))
+    named = chosen.withColumn("pair", F.concat_ws("|", "a", "b"))
     sides = [
         rows.select(F.col("ball").alias(s), "vec").join(named.select("pair", s), s).select("pair", F.lit(s).alias("side"), "vec") for s in "ab"
     ]
 
     def extreme(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (_matrix(pdf.loc[pdf["side"] == s, "vec"]) for s in "ab")
-        d = kernels.distances(a, b)
-        return pd.DataFrame({"d": [d.max() if widest else d.min()]})
+        return pd.DataFrame({"d": [_extreme_of(a, b, widest)]})
 
     found = sides[0].unionByName(sides[1]).groupBy("pair").applyInPandas(extreme, "d double")
     return found.agg((F.max if widest else F.min)("d").alias("d")).first()["d"]

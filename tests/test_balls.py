@@ -74,3 +74,30 @@ def test_a_ball_of_near_copies_comes_apart(spark):
     labels = [1] * 201 + [2]
     got = balls.dunn(table(spark, x, labels), "id", "vec", "label", cell_rows=4, fan_out=2).first()
     assert got["diameter"] == pytest.approx(1e-3) and got["gap"] == pytest.approx(np.hypot(5 - 1e-3, 5))
+
+
+def test_rows_pass_a_block_once_and_far_balls_not_at_all():
+    centres = np.array([[0.0], [1.0], [100.0]])
+    known = [{"ball": b, "n": 40, "cells": 2, "radius": 1.0} for b in range(3)]
+    cells, passed = balls._blocks_of(known, {0: 0.5, 1: 0.5, 2: 0.5}, kernels.distances(centres, centres), 3)
+    assert [c[2] for c in cells] == [0, 0, 1, 1, 2, 2] and passed == [(0, [0, 1]), (1, [0, 1]), (2, [2])]
+    assert dict(balls._blocks_of(known, dict.fromkeys(range(3), np.inf), kernels.distances(centres, centres), 3)[1]) == dict.fromkeys(range(3), [0, 1, 2])
+
+
+def test_nearest_rows_without_structure_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr("tamiz.operators.pairs.HELD_ROWS", 64)
+    monkeypatch.setattr("tamiz.operators.pairs.TILE_ROWS", 16)
+    x = np.random.default_rng(6).normal(size=(300, 24)) + 50.0
+    x[200:220] = x[3]
+    got = balls.nearest_rows(table(spark, x, np.arange(300) % 3), "id", "vec", "label", 5, pivots=7, cell_rows=20).orderBy("id", "rank").collect()
+    want = brute_near(x, 5)
+    assert len(got) == 1500 and all(r["other"] == want[r["id"]][r["rank"] - 1][1] for r in got)
+
+
+@pytest.mark.parametrize("widest", [True, False])
+def test_extreme_of_two_sets_by_product_is_that_by_differences(widest):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(700, 5)) + 1e5, rng.normal(size=(900, 5)) + 1e5
+    d = kernels.distances(a, b)
+    assert balls._extreme_of(a, b, widest) == pytest.approx(d.max() if widest else d.min(), rel=1e-12)
+    assert widest or balls._extreme_of(a, np.vstack([b, a[:3]]), widest) == 0.0

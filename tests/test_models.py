@@ -314,5 +314,5 @@ def test_grid_results_send_levels_and_not_customers_to_the_driver(spark, tmp_pat
     people = [(i, i % 25, f"S{i % 5}", float(i % 97)) for i in range(500)]
     spark.createDataFrame(people, "c_custkey bigint, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     monkeypatch.setattr(models.grid, "grid_results", lambda spark, evaluate, *_: evaluate("by_key", 2))
-    plan = models.grid_results(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
-    assert "BuildRight" in plan and "BuildLeft" not in plan
+    plan = models.grid_results(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
