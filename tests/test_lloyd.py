@@ -78,3 +78,10 @@ def test_only_moved_centres_come_back_and_sums_are_whole(spark):
     assert counts.tolist() == np.bincount(where, minlength=3).tolist() and cost == same
     for i in range(3):
         assert moved[i].tolist() == (means[i] if counts[i] else centres[i]).tolist()
+
+
+def test_a_missing_component_does_not_stop_the_fit(spark):
+    x = [(i, [float(i % 7), None if i % 50 == 3 else float(i % 3)]) for i in range(200)]
+    points = spark.createDataFrame(x, "id bigint, vec array<double>").repartition(3)
+    label = rows(cluster.kmeans(points, "id", "vec", 3, starts=2), "id")
+    assert len(label) == 200 and {r[1] for r in label} <= {1, 2, 3}
