@@ -85,3 +85,33 @@ def test_a_missing_component_does_not_stop_the_fit(spark):
     points = spark.createDataFrame(x, "id bigint, vec array<double>").repartition(3)
     label = rows(cluster.kmeans(points, "id", "vec", 3, starts=2), "id")
     assert len(label) == 200 and {r[1] for r in label} <= {1, 2, 3}
+
+
+def test_groups_of_rows_look_at_few_centres_and_find_the_same(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(3000, 3)) ** 3, np.tile([0.5, 0.25, 0.125], (500, 1)), [[1e9, 0.0, 0.0]]])
+    c = np.concatenate([x[rng.choice(3000, 900, replace=False)], [[0.5, 0.25, 0.0], [0.5, 0.25, 0.25], [-1e12, 0.0, 0.0]]])
+    seen, here = [], lloyd._nearest_here
+    monkeypatch.setattr(lloyd, "_nearest_here", lambda x, c, m: seen.append(len(x) * len(c)) or here(x, c, m))
+    at, d = lloyd.nearest(x, c)
+    apart = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+    assert at.tolist() == apart.argmin(axis=1).tolist() and d.tolist() == apart.min(axis=1).tolist()
+    near = rng.normal(size=(4096, 2))
+    seen.clear()
+    assert lloyd.nearest(near, near[:900])[0][:900].tolist() == list(range(900))
+    assert 0 < sum(seen) < 4096 * 900 / 5
+
+
+def test_reduced_draws_as_with_all_distances(spark):
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(size=(700, 9)) * 10.0 ** rng.integers(-3, 3, 9), rng.integers(0, 5, 700).astype(float)
+    gen = np.random.default_rng(1)
+    chosen = [int(np.searchsorted(np.cumsum(w), gen.random() * w.sum()))]
+    for _ in range(59):
+        load = np.cumsum(w * ((x[:, None] - x[chosen][None]) ** 2).sum(axis=2).min(axis=1))
+        chosen.append(min(int(np.searchsorted(load, gen.random() * load[-1], side="right")), 699))
+    assert lloyd._reduced(x, w, 60, np.random.default_rng(1)).tolist() == x[chosen].tolist()
+    grid = lloyd.Grid(spark.range(1), 1.0, 9)
+    found = lloyd._reduced_starts(grid, {0: x, 1: x[:40]}, {0: w, 1: w[:40]}, 60, 7)
+    assert found[1].tolist() == np.unique(x[:40], axis=0).tolist()
+    assert found[0].tolist() == np.unique(lloyd._reduced(x, w, 60, np.random.default_rng([7, 0])), axis=0).tolist()
