@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tamiz.operators import bind, consolidate as con, features as feat, grid, profile as prof, quality, quantiles, route
+from tamiz.operators import bind, consolidate as con, features as feat, grid, profile as prof, quality, quantiles, route, transform
 from tests.conftest import rows
 
 
@@ -262,3 +262,24 @@ def test_failed_configurations_say_why(spark):
     assert grid.succeeded(out).count() == 1 and grid.failed(out).count() == 7
     with pytest.raises(KeyError):  # a fault of the program
         grid.grid_results(spark, lambda method, k: {}[method], {"m": "double"}, ["a"], [2])
+
+
+def test_boxcox_moments_of_any_partitions_and_missing_values(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.lognormal(size=400), rng.lognormal(sigma=3, size=400), np.full(400, 2.5)])
+    lists = [[None if (i + j) % 9 == 0 else float(v) for j, v in enumerate(r)] for i, r in enumerate(x)]
+    lams, middles, shifts = [0.4, 1e-4, -2.0], [0.1, 0.0, 0.9], [0.0, 1.0, 0.0]
+    for parts in (1, 7):
+        df = spark.createDataFrame(lists, "x0 double, x1 double, x2 double").repartition(parts)
+        got = transform._moments(df, [0, 1, 2], shifts, middles, lams)
+        for j in range(3):
+            v = np.log(np.array([r[j] for r in lists if r[j] is not None]) + shifts[j]) - middles[j]
+            e = 1e-5
+
+            def form(lam):
+                return np.expm1(v * lam) / lam
+
+            y, dy = form(lams[j]), (form(lams[j] + e) - form(lams[j] - e)) / (2 * e)
+            assert got[j][0] == pytest.approx(y.var(), rel=1e-9, abs=1e-12)
+            assert got[j][1] == pytest.approx(((y - y.mean()) * (dy - dy.mean())).mean(), rel=1e-4, abs=1e-9)
+            assert got[j][2] == pytest.approx(dy.var(), rel=1e-4, abs=1e-9)
