@@ -316,3 +316,15 @@ def test_grid_results_send_levels_and_not_customers_to_the_driver(spark, tmp_pat
     monkeypatch.setattr(models.grid, "grid_results", lambda spark, evaluate, *_: evaluate("by_key", 2))
     plan = models.grid_results(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan
+
+
+def test_clara_works_out_its_rows_once(spark):
+    x, seen = blobs(), spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    points = points_of(spark, x).select("id", counted("vec").alias("vec"))
+    assert cluster.clara(points, "id", "vec", 3)[0].count() == len(x) == seen.value
