@@ -115,3 +115,38 @@ def test_reduced_draws_as_with_all_distances(spark):
     found = lloyd._reduced_starts(grid, {0: x, 1: x[:40]}, {0: w, 1: w[:40]}, 60, 7)
     assert found[1].tolist() == np.unique(x[:40], axis=0).tolist()
     assert found[0].tolist() == np.unique(lloyd._reduced(x, w, 60, np.random.default_rng([7, 0])), axis=0).tolist()
+
+
+def test_a_round_of_seeding_looks_at_its_new_candidates_only(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.integers(0, 40, size=(600, 2)).astype(float), np.tile([3.0, 4.0], (50, 1))])
+    grid = lloyd.on_grid(table(spark, x, 5), "id", "vec")
+    first, more = x[:1], lloyd._ordered(x[rng.choice(600, 60, replace=False)])
+    more = {0: more[~(more == first).all(axis=1)], 1: x[:0]}
+    rounds = [{0: first, 1: first}, {s: c[::2] for s, c in more.items()}, {s: c[1::2] for s, c in more.items()}]
+    known, state = {0: x[:0], 1: x[:0]}, grid.rows
+    for fresh in rounds:
+        state = lloyd._joined(grid, state, known, fresh)
+        known = {s: np.vstack([known[s], fresh[s]]) for s in known}
+    found = state.toPandas().sort_values("id")
+    whole = lloyd._ordered(known[0])
+    at, d = lloyd.nearest(x, whole)
+    places, apart = np.stack([np.frombuffer(v, np.int32) for v in found["at"]]), np.stack([np.frombuffer(v) for v in found["d"]])
+    assert known[0][places[:, 0]].tolist() == whole[at].tolist()  # ties too
+    assert apart[:, 0].tolist() == d.tolist() and set(places[:, 1]) == {0}
+    counts = lloyd._weights(state, known)
+    assert counts[0].tolist() == np.bincount(places[:, 0], minlength=len(known[0])).tolist() and counts[1].tolist() == [650]
+    assert lloyd._spent(grid, state, 2)[0] == lloyd._totals(grid, {0: whole})[0][2]
+    sizes, fitted = [], lloyd._joined
+    monkeypatch.setattr(lloyd, "_joined", lambda g, r, t, f: sizes.append((len(t[0]), len(f[0]))) or fitted(g, r, t, f))
+    centres = lloyd.seeded(grid, 9, 2, 444)
+    assert all(len(c) == 9 for c in centres.values())
+    assert len(sizes) == lloyd.SEED_ROUNDS + 1 and all(b[0] == a[0] + a[1] for a, b in zip(sizes, sizes[1:]))
+
+
+def test_keys_become_names_as_by_the_formatter(spark):
+    from tamiz.catalog.standin import _customer_name
+
+    keys = spark.createDataFrame([(v,) for v in (0, 7, 999_999_999, 1_000_000_000, 2**62, -3, None)], "k bigint")
+    found = keys.select(_customer_name(F.col("k")), F.format_string("customer#%09d", "k")).collect()
+    assert all(a == b for a, b in found)
