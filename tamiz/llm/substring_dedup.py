@@ -10,7 +10,9 @@ Dictionary and parse. Phrases whose trigger content occurs once in the corpus ca
 keep bytes. Suffixes: dictionary phrases that share a trigger with a different phrase are taken apart into their suffixes,
 compared to the depth ``length`` (no phrase needs its neighbour for that, so the parse needs no suffix order of its own),
 in corpus order. What is not first is covered and goes. Up to ``GROUP`` phrases of a trigger meet in one task, which reads
-them in corpus order; the suffixes of a trigger with more are named by content and spread over all tasks. Both are exact.
+them in corpus order. Phrases of a trigger with more are cut into pieces of neighbouring starts; equal pieces are named, and
+different ones meet by the bytes all their strings share, which leaves small groups again or is cut finer, at last into
+single strings. All ways are exact, and a phrase gives a few pieces instead of a row for each of its strings.
 
 Shuffles: trigger rows (about one per 35 bytes) twice, texts three times (to name phrases, to fetch those taken apart, to
 cut), phrases whose trigger repeats as digests, contents only of those taken apart. Aggregates are map-side first and
@@ -25,7 +27,8 @@ every byte that such a string covers. Empty tables give no rows. Only the id and
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,8 @@ LENGTH = 100
 GRAM = 32
 SEGMENT = 1 << 18  # starts that are worked on at once
 OUT_ROWS = 200_000
-GROUP = 500  # phrases of one trigger that one task compares; triggers with more are spread string by string
+GROUP = 500  # phrases of one trigger that one task compares; those of triggers with more are cut into pieces
+WIDTHS = (16, 4, 1)  # starts of the pieces, cut finer as long as too many different ones meet
 PLACE = (("_no_id", pa.bool_()), ("_id", pa.int64()), ("hash", pa.int64()), ("start", pa.int64()))
 PLACE_DDL = "_no_id boolean, _id long, hash long, start long"
 
@@ -147,57 +151,97 @@ def _bodies(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _later_windows(bodies: DataFrame, length: int) -> DataFrame:
-    """Covered ranges among phrases of small trigger groups, read in order of (trigger, place).
+    """Covered ranges among the ``n`` different phrases of each small group, read in order of (group, place).
 
-    A task holds the strings of one trigger at a time, at most ``GROUP`` phrases.
+    A task holds the strings of one group at a time, at most ``GROUP`` phrases. A phrase holds no string twice.
     """
     schema = pa.schema([*PLACE, ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, last, seen = None, None, set()
+        current, last, seen, nth = None, None, set(), 0
         for batch in batches:
             rows = []
-            for seed, no_id, id_, hash_, start, body in zip(*[c.to_pylist() for c in batch.columns]):
+            for seed, no_id, id_, hash_, start, n, body in zip(*[c.to_pylist() for c in batch.columns]):
                 if seed != current:
-                    current, last, seen = seed, None, set()
+                    current, last, seen, nth = seed, None, set(), 0
                 place = no_id, id_, hash_, start
                 if place == last:  # the same phrase of a repeated row
                     continue
-                last, open_ = place, None
-                for i in range(len(body) - length + 1):
-                    part = body[i : i + length]
-                    if part in seen:
-                        open_ = i if open_ is None else open_
-                        continue
-                    seen.add(part)
+                last, nth = place, nth + 1
+                parts = [body[i : i + length] for i in range(len(body) - length + 1)]
+                if nth > 1 and not seen.isdisjoint(parts):
+                    open_ = None
+                    for i, part in enumerate(parts):
+                        if part in seen:
+                            open_ = i if open_ is None else open_
+                        elif open_ is not None:
+                            rows.append((no_id, id_, hash_, start + open_, start + i - 1 + length))
+                            open_ = None
                     if open_ is not None:
-                        rows.append((no_id, id_, hash_, start + open_, start + i - 1 + length))
-                        open_ = None
-                if open_ is not None:
-                    rows.append((no_id, id_, hash_, start + open_, start + len(body)))
+                        rows.append((no_id, id_, hash_, start + open_, start + len(body)))
+                if nth < n:
+                    seen.update(parts)
             if rows:
                 yield _batch(rows, schema)
 
     order = ["seed", "_no_id", "_id", "hash", "start"]
-    return bodies.select(*order, "body").repartition("seed").sortWithinPartitions(*order).mapInArrow(run, f"{PLACE_DDL}, end long")
+    return bodies.select(*order, "n", "body").repartition("seed").sortWithinPartitions(*order).mapInArrow(run, f"{PLACE_DDL}, end long")
 
 
-def _later_suffixes(stages: Stages, bodies: DataFrame, length: int) -> DataFrame:
-    """As ``_later_windows`` for triggers with more phrases: one row per string, spread by its name."""
-    place = ["_no_id", "_id", "hash"]
-    starts = F.sequence(F.lit(0), F.length("body") - length)
-    suffixes = stages.keep(
-        bodies.select(*place, "start", "body", F.explode(starts).alias("i")).select(
-            F.unhex(F.md5(F.substring(F.col("body"), F.col("i") + 1, F.lit(length)))).alias("name"),
-            F.struct(*place, (F.col("start") + F.col("i")).alias("start")).alias("at"),
-        )
-    )
-    first = suffixes.groupBy("name").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    out = stages.keep(
-        suffixes.join(first, "name").filter(F.col("at") != F.col("first"))
-        .select(*[f"at.{c}" for c in place], "at.start", (F.col("at.start") + length).alias("end"))
-    )
-    stages.drop(suffixes)
+def _finer(bodies: DataFrame, length: int, width: int) -> DataFrame:
+    """Phrases cut into pieces whose strings have their trigger at one of ``width`` neighbouring offsets.
+
+    ``seed`` becomes a digest of the bytes that every string of such offsets has in common with any equal one, so equal strings
+    keep meeting under one ``seed``.
+    """
+    schema = pa.schema([*PLACE, ("seed", pa.int64()), ("name", pa.binary()), ("body", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for no_id, id_, hash_, start, body in zip(*[c.to_pylist() for c in batch.columns]):
+                at = int(gram_hashes(np.frombuffer(body, np.uint8, length)).argmin())  # the trigger of the first string and all
+                count = len(body) - length + 1
+                for k in range((at - count + 1) // width, at // width + 1):
+                    low, high = at - k * width - width + 1, at - k * width  # starts of the strings with these offsets
+                    core = body[high : low + length]
+                    a, z = max(low, 0), min(high, count - 1) + length
+                    seed = int.from_bytes(hashlib.md5(b"%d %b" % (k, core)).digest()[:8], "little", signed=True)
+                    rows.append((no_id, id_, hash_, start + a, seed, hashlib.md5(body[a:z]).digest(), body[a:z]))
+                if len(rows) >= OUT_ROWS // 4:
+                    yield _batch(rows, schema)
+                    rows = []
+            if rows:
+                yield _batch(rows, schema)
+
+    return bodies.select("_no_id", "_id", "hash", "start", "body").mapInArrow(run, f"{PLACE_DDL}, seed long, name binary, body binary")
+
+
+def _later_pieces(stages: Stages, bodies: DataFrame, length: int, group: int, widths: Sequence[int] = WIDTHS) -> list[DataFrame]:
+    """As ``_later_windows`` for groups of more phrases, in finer and finer pieces.
+
+    Of equal pieces all but the first are covered. Different ones of a small group are compared in one task; a group that is still
+    too large is cut again. Pieces of width 1 are single strings, where equal names say it all.
+    """
+    at, place = F.struct("_no_id", "_id", "hash", "start"), ["_no_id", "_id", "hash"]
+    out, held = [], []
+    for width in widths:
+        if bodies.isEmpty():
+            break
+        pieces = stages.keep(_finer(bodies, length, width))
+        named = stages.keep(pieces.groupBy("name").agg(F.min(at).alias("first"), F.any_value("seed").alias("group")))
+        later = pieces.join(named.select("name", "first"), "name").filter(at != F.col("first"))
+        out.append(stages.keep(later.select(*place, "start", (F.col("start") + F.length("body")).alias("end"))))
+        if width == 1:
+            break
+        shared = named.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        firsts = named.join(shared, "group").select("name", "first", "n")
+        left = stages.keep(pieces.join(firsts, "name").filter(at == F.col("first")).select(*place, "start", "seed", "n", "body"))
+        stages.drop(pieces, named, *held)
+        held = [left]
+        out.append(stages.keep(_later_windows(left.filter(F.col("n") <= group), length)))
+        stages.release()
+        bodies = left.filter(F.col("n") > group)
     return out
 
 
@@ -234,10 +278,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     stages.drop(apart)
     stages.release()
     few = stages.keep(_later_windows(bodies.filter(F.col("n") <= group), length))
-    many = _later_suffixes(stages, bodies.filter(F.col("n") > group), length)
+    many = _later_pieces(stages, bodies.filter(F.col("n") > group), length, group)
     stages.drop(bodies)
     stages.release()
-    return whole.unionAll(few).unionAll(many)
+    return reduce(DataFrame.unionAll, [whole, few, *many])
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

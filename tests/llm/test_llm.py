@@ -253,6 +253,30 @@ def test_remove_repeats(spark, odd, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_crowded_triggers_are_cut_into_few_pieces(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    common, ends = word(180), [word(3) for _ in range(6)]
+    rows = [(i, word(150) + ends[i % 6] + common + ends[i % 5] + word(150)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cut, whole, finer = [], [], substring_dedup._finer
+
+    def spy(bodies, length, width):
+        out = finer(bodies, length, width)
+        cut.append(out.count())
+        whole.append(bodies.select(F.sum(F.length("body") - length + 1)).first()[0])
+        return out
+
+    monkeypatch.setattr(substring_dedup, "_finer", spy)
+    want = removal_rows([(i, t.encode()) for i, t in rows], 100)
+    assert removed(substring_dedup.remove_repeats(docs, group=20)) == want
+    assert 0 < cut[0] < whole[0] / 5
+    assert removed(substring_dedup.remove_repeats(docs, group=3)) == want
+    assert len(cut) > 3
+
+
 @needs_tables
 def test_remove_repeats_table(spark, small):
     rows = sorted((r.doc_id, r.text) for r in small.collect())
