@@ -150,3 +150,43 @@ def test_keys_become_names_as_by_the_formatter(spark):
     keys = spark.createDataFrame([(v,) for v in (0, 7, 999_999_999, 1_000_000_000, 2**62, -3, None)], "k bigint")
     found = keys.select(_customer_name(F.col("k")), F.format_string("customer#%09d", "k")).collect()
     assert all(a == b for a, b in found)
+
+
+def test_rounds_with_bounds_find_the_same_and_look_at_few_rows(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(2500, 6)), np.tile([0.5] * 6, (40, 1)), rng.normal(size=(3, 6)) * 1e5])
+    grid = lloyd.on_grid(table(spark, x, 5), "id", "vec")
+    centres = {s: lloyd._ordered(x[rng.choice(2500, 200, replace=False)]) for s in (0, 2)}
+    rows, before, loads = grid.rows, {}, {s: lloyd._Load.none(200, 6) for s in centres}
+    for turn in range(4):
+        rows, before = lloyd._placed(grid, rows, centres, before), centres
+        lloyd._changes(grid, rows, centres, loads)
+        for s, (means, cost) in lloyd._moved(grid, centres).items():  # all rows looked at all centres
+            assert lloyd._at_means(grid, centres[s], loads[s]).tolist() == means.tolist() and loads[s].cost / grid.scale == cost
+            centres = centres | {s: means}
+        if turn == 1:
+            centres.pop(0)  # a start that ended is no longer looked at
+    y = np.round(x * grid.scale) / grid.scale
+    behind = np.zeros(len(y))
+    at, d = lloyd.nearest(y, centres[2], None, behind)
+    apart = np.sqrt(((y[:, None] - centres[2][None]) ** 2).sum(axis=2))
+    apart[np.arange(len(y)), at] = np.inf
+    assert (behind <= apart.min(axis=1) * (1 + 1e-9)).all() and (behind > np.sqrt(d) * (1 + 1e-4)).mean() > 0.9
+    moves = np.full(200, 1e-4) * (np.arange(200) >= 100)
+    moves[7] = 3.0
+    step = rng.normal(size=(200, 6))
+    new = centres[2] + step * (moves / np.sqrt((step**2).sum(axis=1)))[:, None]
+    still, left = lloyd._still_nearest(y, new, moves, at, behind)
+    apart = np.sqrt(((y[:, None] - new[None]) ** 2).sum(axis=2))
+    assert (apart.argmin(axis=1) == at)[still].all() and still.mean() > 0.8
+    apart[np.arange(len(y)), at] = np.inf
+    assert (left <= apart.min(axis=1) * (1 + 1e-9))[still].all()
+
+
+@pytest.mark.parametrize("width", [2, 7])
+def test_fits_with_and_without_bounds_are_alike(spark, monkeypatch, width):
+    x = np.random.default_rng(width).normal(size=(1500, width)) ** 3
+    grid = lloyd.on_grid(table(spark, np.concatenate([x, x[:50]]), 4), "id", "vec")
+    found = [lloyd.fit(grid, 150, 3, max_iter=25)]
+    monkeypatch.setattr(lloyd, "MANY_CENTRES", 10_000)
+    assert lloyd.fit(grid, 150, 3, max_iter=25).tolist() == found[0].tolist()
