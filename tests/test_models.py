@@ -308,6 +308,25 @@ def test_profile_takes_more_rows_than_the_bound_of_centres(spark):
     assert got["n"] == 5001 and got["total"] == pytest.approx(kernels.distances(near[17:18], near[::2]).sum())
 
 
+def test_configurations_of_the_same_points_share_one_look_at_all_pairs(spark, monkeypatch):
+    x = blobs()
+    df = spark.createDataFrame([(i, v.tolist(), i % 6) for i, v in enumerate(x)], "id bigint, vec array<double>, label int")
+    given = [("given", F.col("label")), ("odd", F.col("label") % 2), ("thirds", F.col("label") % 3)]
+    labels = df.select("id", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(4).alias("k"), c.alias("cluster")) for m, c in given])).alias("o"))
+    labels = labels.select("o.method", "o.k", "id", "o.cluster")
+    passes, profile = [], validate.point_profile
+    monkeypatch.setattr(validate, "point_profile", lambda *a: passes.append(1) or profile(*a))
+    grid = validate.validation_grid(df, "id", "vec", labels, max_items=10).orderBy("method").collect()
+    assert len(passes) == 1
+    for r, mod in zip(grid, (6, 2, 3)):
+        con, dunn, widths = naive_indices(x, np.arange(len(x)) % mod)
+        assert tuple(r)[2:] == pytest.approx((con, dunn, np.mean(widths)))
+    fewer = labels.where("method != 'odd' OR id > 0")  # points differ: one after the other
+    grid = validate.validation_grid(df, "id", "vec", fewer, max_items=10).orderBy("method").collect()
+    con, dunn, widths = naive_indices(x[1:], np.arange(1, len(x)) % 2)
+    assert len(passes) == 4 and tuple(grid[1])[2:] == pytest.approx((con, dunn, np.mean(widths)))
+
+
 def test_grid_results_send_levels_and_not_customers_to_the_driver(spark, tmp_path, monkeypatch):
     from tamiz.catalog import models
 
